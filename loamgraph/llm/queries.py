@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
+from .fingerprints import edited_fingerprints
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack
 from .token_counts import token_counts
@@ -60,6 +62,17 @@ FROM parts p LEFT JOIN found f ON p.host = f.host AND p.path = f.path
 """
 
 
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), rule="first")
