@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship, table
+from .ann import nearest
 from .fingerprints import edited_fingerprints
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -62,6 +63,11 @@ FROM parts p LEFT JOIN found f ON p.host = f.host AND p.path = f.path
 """
 
 
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
