@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..runtime import ship, table
 from .ann import nearest
 from .fingerprints import edited_fingerprints
+from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import quality
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .url_filters import Rule, filter_urls
 
 URL_RULES = (
@@ -63,11 +66,26 @@ FROM parts p LEFT JOIN found f ON p.host = f.host AND p.path = f.path
 """
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
