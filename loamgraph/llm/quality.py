@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import _IS_SPACE, string_column, text_slices, word_bounds, word_hashes
 from .labelled import labelled_sample, split_of
@@ -155,9 +156,25 @@ def fit(sample: list[tuple[str, int]], *, hidden: int = 24, gates: int = 12, epo
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 4000, carry: tuple[str, ...] = ()) -> DataFrame:
+SCORE = "__quality_score"
+
+
+def _scored(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, sample: int) -> DataFrame:
+    """`docs` with the score of each text in one more column."""
+    fitted = fit(labelled_sample(docs, labels, label, split_of(F.col("doc_id"), mod) != held_out, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, offs, data in text_slices(string_column(b, "text")):
+                yield b.slice(lo, hi - lo).append_column(SCORE, pa.array(model.value.documents(offs, data)))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+
+
+def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 4000) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted (1 if score
-    >= threshold), then the `carry` columns.
+    >= threshold).
 
     Fitted on about `sample` labelled documents (twice as many at most), never on those
     whose crc32(doc_id as text) mod `mod` is `held_out`. Scores come from the text alone,
@@ -167,17 +184,12 @@ def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod:
     are not held out. Without labels, or with labels of one kind, every score is the
     same. Repeated rows stay; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, split_of(F.col("doc_id"), mod) != held_out, sample)))
+    scored = _scored(docs.select("doc_id", "text"), labels, label, mod, held_out, sample)
+    held = F.coalesce(split_of(F.col("doc_id"), mod) == held_out, F.lit(False))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, offs, data in text_slices(string_column(b, "text")):
-                part = b.slice(lo, hi - lo)
-                yield part.append_column("score", pa.array(model.value.documents(offs, data)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in carry if c not in ("doc_id", "text")])
-    schema = rows.selectExpr("*", "double(0) score").schema.simpleString()[7:-1]
-    scored = rows.mapInArrow(run, schema)
-    held = F.coalesce(split_of(F.col("doc_id"), mod) == held_out, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in carry if c != "doc_id"])
+def keep_good(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 4000) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is not below the threshold."""
+    scored = _scored(docs, labels, label, mod, held_out, sample)
+    return scored.where(F.col(SCORE) >= threshold).drop(SCORE)
