@@ -10,10 +10,12 @@ With 5 chunks of 6 slots and 2 errors, all pairs at a distance of up to 14 of 30
 and pairs at the similarity 0.8 (mean distance 6) fail to meet with probability 1e-5.
 
 A key's group is never expanded into all its pairs. First each member is held against
-the group's least member, and what this links is contracted. Only where members of
-different classes are left are those outside the group's largest class joined with the
-group, which is dealt out in blocks. So a group of n near copies costs n comparisons,
-and a link between different texts that could join two classes is still never skipped.
+one member of the group, which a hash of key and set picks, so that a set meets other
+ones under other keys; the nearest few of them are confirmed, and what this links is
+contracted. Only where members of different classes are left are those outside the
+group's largest class joined with the group, which is dealt out in blocks. So a group of
+n near copies costs a few times n comparisons, and a link between different texts that
+could join two classes is still never skipped.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..runtime import Scratch
 from .batches import mix, string_column, text_slices, word_bounds, word_hashes
@@ -33,6 +36,9 @@ from .batches import mix, string_column, text_slices, word_bounds, word_hashes
 #: Rows of a key's group that one task of the second join holds.
 BLOCK_ROWS = 2048
 
+#: Members that each set is confirmed against at first; the rest is for the second join.
+FIRST_LINKS = 3
+
 #: Ids of candidate documents that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -43,8 +49,8 @@ class Index:
     slots: int = 6
     errors: int = 2
     #: Candidates at a greater distance are dropped. At the similarity 0.8 that is one
-    #: pair in 3e5; the guarantee needs chunks * (errors + 1) - 1 at least.
-    max_distance: int = 17
+    #: pair in 2e4; the guarantee needs chunks * (errors + 1) - 1 at least.
+    max_distance: int = 15
 
     @property
     def hashes(self) -> int:
@@ -123,8 +129,9 @@ def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
 
 
 def _keys(nodes: DataFrame, index: Index) -> DataFrame:
-    """(key, set_id): for every chunk and every choice of slots left out."""
-    kept = [tuple(j for j in range(index.slots) if j not in out) for out in combinations(range(index.slots), index.errors)]
+    """(key, set_id): for every chunk and every choice of slots left out. A key's low ten
+    bits are the number of the choice."""
+    variants = _variants(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,27 +140,52 @@ def _keys(nodes: DataFrame, index: Index) -> DataFrame:
                 n = part.num_rows
                 slot = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).view(np.uint16).astype(np.uint64)
                 keys = []
-                for c in range(index.chunks):
-                    for v, picked in enumerate(kept):
-                        packed = np.full(n, c * len(kept) + v + 1, dtype=np.uint64)
-                        for j in picked:
-                            packed = mix(packed * np.uint64(0x9E3779B97F4A7C15) + slot[:, c * index.slots + j])
-                        keys.append(packed.view(np.int64))
+                for v, picked in enumerate(variants):
+                    packed = np.full(n, v + 1, dtype=np.uint64)
+                    for j in picked:
+                        packed = mix(packed * np.uint64(0x9E3779B97F4A7C15) + slot[:, j])
+                    keys.append(((packed << np.uint64(10)) | np.uint64(v)).view(np.int64))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], names=["key", "set_id"])
 
     return nodes.select("set_id", "signature").mapInArrow(run, "key long, set_id long")
 
 
-def _distance(a: Column, b: Column, words: int) -> Column:
-    """Differing 16-bit slots of two packed signatures."""
-    total = F.lit(0)
-    for i in range(words):
+def _equal_slots(a: Column, b: Column, index: Index) -> Column:
+    """Bits of the 16-bit slots, from the lowest, that two packed signatures share."""
+    words = []
+    for i in range(-(-index.hashes // 4)):
         x = a[i].bitwiseXOR(b[i])
         for s in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+        differ = x.bitwiseAND(F.lit(0x0001000100010001))
+        near = differ.bitwiseOR(F.shiftrightunsigned(differ, 15)).bitwiseOR(F.shiftrightunsigned(differ, 30)).bitwiseOR(F.shiftrightunsigned(differ, 45))
+        words.append(F.shiftleft(near.bitwiseAND(F.lit(15)), 4 * i))
+    differ = words[0]
+    for w in words[1:]:
+        differ = differ.bitwiseOR(w)
+    return differ.bitwiseXOR(F.lit((1 << index.hashes) - 1))
+
+
+def _distance(a: Column, b: Column, index: Index) -> Column:
+    """Differing slots of two packed signatures."""
+    return F.lit(index.hashes) - F.bit_count(_equal_slots(a, b, index))
+
+
+def _variants(index: Index) -> list[tuple[int, ...]]:
+    """The slots that each key of a set is made from, in the order of the keys."""
+    kept = [tuple(j for j in range(index.slots) if j not in out) for out in combinations(range(index.slots), index.errors)]
+    return [tuple(c * index.slots + j for j in v) for c in range(index.chunks) for v in kept]
+
+
+def _first_variant(equal: Column, index: Index) -> Column:
+    """The first key that two sets with these equal slots share."""
+    out = None
+    for i, slots in enumerate(_variants(index)):
+        mask = F.lit(sum(1 << j for j in slots))
+        test = equal.bitwiseAND(mask) == mask
+        out = F.when(test, i) if out is None else out.when(test, i)
+    return out
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -167,19 +199,18 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        large = scratch.write(large.distinct())
+        large = scratch.write(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.withColumnRenamed("low", "b"))
-        new = scratch.write(small.where("a <> b").distinct())
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("x"))
+        new = scratch.write(small.select("x.a", F.col("x.low").alias("b")).where("a <> b").distinct())
         scratch.drop(large)
-        # A forest of stars: no node is both a leaf and a centre, and each leaf has one centre.
-        n = new.agg(F.count("*").alias("n"), F.count_distinct("a").alias("leaves")).first()
-        done = n["n"] == n["leaves"] and new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
         scratch.drop(e)
         e = new
-        if done:
-            centre = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+        # Done when the edges are stars: each leaf has one centre, and no centre is a leaf.
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if ends.where("leaf > 1 or leaf + centre > 1").isEmpty():
+            centre = ends.where("centre = 1").select("node", F.col("node").alias("label"))
             return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centre)
 
 
@@ -242,24 +273,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    words = -(-index.hashes // 4)
     described = scratch.write(_described(docs, width, index))
     nodes = scratch.write(
         described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
     )
     keys = _keys(nodes, index)
-    groups = scratch.write(keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("rows")).where("rows > 1"))
+    groups = scratch.write(keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1"))
     met = scratch.write(keys.join(groups, "key").where("set_id <> low"))
 
     side = lambda s: nodes.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
     stars = met.select(F.col("set_id").alias("a"), F.col("low").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b")
-    stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent) & (_distance(F.col("sig_a"), F.col("sig_b"), words) <= index.max_distance)).select("a", "b")
+    stars = stars.join(side("b"), "b").join(side("a"), "a").withColumn("distance", _distance(F.col("sig_a"), F.col("sig_b"), index))
+    stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent) & (F.col("distance") <= index.max_distance))
+    place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
+    stars = stars.select("a", "b", "distance").withColumn("place", place).where(F.col("place") <= FIRST_LINKS).select("a", "b")
     confirm = _Confirm(docs, described.where("set_id is not null").select("set_id", "doc_id"), scratch, width, percent)
     links = confirm.links(stars)
     label = scratch.write(components(scratch, links))
 
-    pairs = _left_over(scratch, nodes, met, label, words, percent, index)
+    pairs = _left_over(scratch, nodes, keys, groups, label, percent, index)
     if pairs is not None:
         more = confirm.links(pairs)
         mapped = more
@@ -277,9 +309,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _left_over(scratch: Scratch, nodes: DataFrame, met: DataFrame, label: DataFrame, words: int, percent: int, index: Index) -> DataFrame | None:
-    """Candidate pairs that the stars don't decide: members of one key's group, both
-    other than its least, in different classes so far."""
+def _left_over(scratch: Scratch, nodes: DataFrame, keys: DataFrame, groups: DataFrame, label: DataFrame, percent: int, index: Index) -> DataFrame | None:
+    """Candidate pairs of members of one key's group that are in different classes so far."""
+    met = keys.join(groups.select("key"), "key", "left_semi")
     member = met.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
     mixed = member.groupBy("key", "label").agg(F.count("*").alias("rows"))
     mixed = mixed.groupBy("key").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "label")).alias("main")).where("labels > 1")
@@ -291,8 +323,10 @@ def _left_over(scratch: Scratch, nodes: DataFrame, met: DataFrame, label: DataFr
     right = member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     named = lambda t, s: t.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "label", "n", "signature")))
     rest = (F.col("label_l") != F.col("label_r")) & _alike(F.col("n_l"), F.col("n_r"), percent)
-    near = _distance(F.col("signature_l"), F.col("signature_r"), words) <= index.max_distance
     l, r = named(left, "l"), named(right, "r")
+    equal = _equal_slots(F.col("signature_l"), F.col("signature_r"), index)
+    # A pair that meets under several keys comes from the first of them only.
+    near = (F.bit_count(equal) >= index.hashes - index.max_distance) & (_first_variant(equal, index) == l["key"].bitwiseAND(F.lit(1023)))
     found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & near)
     found = found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
     return found
