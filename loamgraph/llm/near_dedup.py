@@ -22,7 +22,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -151,25 +153,33 @@ def _keys(nodes: DataFrame, index: Index) -> DataFrame:
     return nodes.select("set_id", "signature").mapInArrow(run, "key long, set_id long")
 
 
-def _equal_slots(a: Column, b: Column, index: Index) -> Column:
-    """Bits of the 16-bit slots, from the lowest, that two packed signatures share."""
-    words = []
+def _differing(a: Column, b: Column, index: Index) -> list[Column]:
+    """For each word of two packed signatures, the lowest bit of each 16-bit slot that
+    differs. The sums can't overflow, and each word is named three times only, so that
+    the generated code stays small."""
+    ones, low14 = F.lit(0x0001000100010001), F.lit(0x3FFF3FFF3FFF3FFF)
+    out = []
     for i in range(-(-index.hashes // 4)):
         x = a[i].bitwiseXOR(b[i])
-        for s in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        differ = x.bitwiseAND(F.lit(0x0001000100010001))
-        near = differ.bitwiseOR(F.shiftrightunsigned(differ, 15)).bitwiseOR(F.shiftrightunsigned(differ, 30)).bitwiseOR(F.shiftrightunsigned(differ, 45))
-        words.append(F.shiftleft(near.bitwiseAND(F.lit(15)), 4 * i))
-    differ = words[0]
-    for w in words[1:]:
-        differ = differ.bitwiseOR(w)
-    return differ.bitwiseXOR(F.lit((1 << index.hashes) - 1))
+        inner = F.shiftrightunsigned(x, 1).bitwiseAND(low14).bitwiseOR(x.bitwiseAND(ones))
+        out.append(F.shiftrightunsigned(inner + low14, 14).bitwiseOR(F.shiftrightunsigned(x, 15)).bitwiseAND(ones))
+    return out
 
 
 def _distance(a: Column, b: Column, index: Index) -> Column:
     """Differing slots of two packed signatures."""
-    return F.lit(index.hashes) - F.bit_count(_equal_slots(a, b, index))
+    return reduce(add, map(F.bit_count, _differing(a, b, index)))
+
+
+def _equal_slots(a: Column, b: Column, index: Index) -> Column:
+    """Bits of the 16-bit slots, from the lowest, that two packed signatures share."""
+    words = []
+    for i, x in enumerate(_differing(a, b, index)):
+        near = x
+        for s in (15, 30, 45):
+            near = near.bitwiseOR(F.shiftrightunsigned(x, s))
+        words.append(F.shiftleft(near.bitwiseAND(F.lit(15)), 4 * i))
+    return reduce(Column.bitwiseOR, words).bitwiseXOR(F.lit((1 << index.hashes) - 1))
 
 
 def _variants(index: Index) -> list[tuple[int, ...]]:
@@ -178,14 +188,12 @@ def _variants(index: Index) -> list[tuple[int, ...]]:
     return [tuple(c * index.slots + j for j in v) for c in range(index.chunks) for v in kept]
 
 
-def _first_variant(equal: Column, index: Index) -> Column:
-    """The first key that two sets with these equal slots share."""
-    out = None
-    for i, slots in enumerate(_variants(index)):
-        mask = F.lit(sum(1 << j for j in slots))
-        test = equal.bitwiseAND(mask) == mask
-        out = F.when(test, i) if out is None else out.when(test, i)
-    return out
+def _is_first_key(variant: Column, equal: Column, index: Index) -> Column:
+    """No variant before this one is a key that two sets with these equal slots share.
+    The slots are bound to a lambda's variable, so that they are worked out once."""
+    masks = F.array(*(F.lit(sum(1 << j for j in slots)) for slots in _variants(index)))
+    earlier = F.slice(masks, F.lit(1), variant.cast("int"))
+    return F.exists(F.array(equal), lambda e: ~F.exists(earlier, lambda m: e.bitwiseAND(m) == m))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -324,9 +332,9 @@ def _left_over(scratch: Scratch, nodes: DataFrame, keys: DataFrame, groups: Data
     named = lambda t, s: t.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "label", "n", "signature")))
     rest = (F.col("label_l") != F.col("label_r")) & _alike(F.col("n_l"), F.col("n_r"), percent)
     l, r = named(left, "l"), named(right, "r")
-    equal = _equal_slots(F.col("signature_l"), F.col("signature_r"), index)
+    sides = F.col("signature_l"), F.col("signature_r")
     # A pair that meets under several keys comes from the first of them only.
-    near = (F.bit_count(equal) >= index.hashes - index.max_distance) & (_first_variant(equal, index) == l["key"].bitwiseAND(F.lit(1023)))
+    near = (_distance(*sides, index) <= index.max_distance) & _is_first_key(l["key"].bitwiseAND(F.lit(1023)), _equal_slots(*sides, index), index)
     found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & near)
     found = found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
     return found
