@@ -54,22 +54,23 @@ def _hit(df: DataFrame) -> DataFrame:
     return df.select("chunk_id", F.round("score", 5).alias("score"))
 
 
-_Q = F.array(*[F.lit(v).cast("float") for v in QUERY])
+def _query():
+    return vectors.literal_vector(QUERY)
 
 
 @query(f"WITH {SCORED} SELECT chunk_id, round(score, 5) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT 10")
 def vector_top_k(spark, sf):
-    return _hit(vectors.top_k(_chunks(spark, sf), _Q, 10))
+    return _hit(vectors.top_k(_chunks(spark, sf), _query(), 10))
 
 
 @query(f"WITH {SCORED} SELECT chunk_id, round(score, 5) AS score FROM scored WHERE source_type <> 'code' AND label IN ('1', '2', '3') ORDER BY scored.score DESC, chunk_id LIMIT 10")
 def vector_top_k_filtered(spark, sf):
-    return _hit(vectors.top_k(_chunks(spark, sf), _Q, 10, where={"source_type": {"ne": "code"}, "label": {"in": [1, 2, 3]}}))
+    return _hit(vectors.top_k(_chunks(spark, sf), _query(), 10, where={"source_type": {"ne": "code"}, "label": {"in": [1, 2, 3]}}))
 
 
 @query(f"WITH {SCORED} SELECT chunk_id, round(score, 5) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT 5")
 def vector_top_k_fallback(spark, sf):
-    return _hit(vectors.top_k_or_all(_chunks(spark, sf), _Q, 5, {"source_type": "absent"}))
+    return _hit(vectors.top_k_or_all(_chunks(spark, sf), _query(), 5, {"source_type": "absent"}))
 
 
 @query(f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS p FROM chunks WHERE document_id IS NOT NULL)

@@ -33,7 +33,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
 
     def cell(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if str(v) in ("None", "nan", "NaT", "<NA>"):
             return "null"
         if isinstance(v, float):
             return f"{v:.5f}" if v != int(v) else str(int(v))
