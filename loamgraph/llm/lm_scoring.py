@@ -331,7 +331,8 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
                 single = (k >= 1) & (k <= s.singles)
                 rare = hashes[~hit]
                 rare_at = np.concatenate(([0], np.cumsum(np.bincount(owner[~hit], minlength=n)))).astype(np.int32)
-                per_row = lambda x: np.bincount(owner, weights=x, minlength=n)
+                # Of no words at all, bincount gives whole numbers.
+                per_row = lambda x: np.bincount(owner, weights=x, minlength=n).astype(np.float64)
                 within = per_row(np.where(single, 0.0, log_n - sizes[k]))
                 yield pa.record_batch([
                     pa.array(row + np.arange(n)), b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(at).astype(np.int64)),
