@@ -188,37 +188,57 @@ def mix_sources(docs: DataFrame, *, sources: str = "source", weights: Sequence[f
     # the hash range, then the last document that fits and the one that crosses the end.
     cell = ["mix_pattern", "mix_class"]
     run = W.partitionBy(*cell).rowsBetween(W.unboundedPreceding, -1)
-    edge = sums.withColumn("before", F.coalesce(F.sum("words").over(run.orderBy("bucket")), F.lit(0)))
+    edge = scratch.write(sums.withColumn("before", F.coalesce(F.sum("words").over(run.orderBy("bucket")), F.lit(0))))
     whole = sums.groupBy(*cell).agg(F.sum("words").alias("class_words")).join(cells, "mix_pattern")
     share = F.floor(F.col("rest").cast("decimal(38,0)") * F.col("class_words") / F.col("all_words")).cast("long")
-    edge = edge.join(whole.select(*cell, share.alias("rest")), cell).where("before < rest and rest <= before + words")
-    edge = scratch.write(edge.select(*cell, "bucket", "before", "rest"))
-    inside = light.join(F.broadcast(edge.withColumnRenamed("before", "ahead")), [*cell, "bucket"])
-    inside = inside.withColumn("upto", F.col("ahead") + F.coalesce(F.sum("mix_key.size").over(run.orderBy("mix_key")), F.lit(0)) + F.col("mix_key.size"))
-    fits = F.col("upto") <= F.col("rest")
-    ends = inside.groupBy(*cell, "bucket").agg(F.max(F.when(fits, F.col("mix_key"))).alias("last_key"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("ahead")).alias("got"), F.min(F.when(~fits, F.col("mix_key"))).alias("next_key"))
-    ends = ends.collect()
+    words_of, wanted = defaultdict(dict), defaultdict(dict)  # by pattern and class
+    for r in whole.select(*cell, "class_words", share.alias("share")).collect():
+        words_of[tuple(r["mix_pattern"])][r["mix_class"]] = r["class_words"]
+        wanted[tuple(r["mix_pattern"])][r["mix_class"]] = r["share"]
+
+    def ends_of(wanted: dict) -> dict[tuple, list]:
+        rests = [(list(p), c, n) for p, by in wanted.items() for c, n in by.items()]
+        rests = F.broadcast(spark.createDataFrame(rests, "mix_pattern array<string>, mix_class int, rest long"))
+        cut = edge.join(rests, cell).where("before < rest and rest <= before + words").select(*cell, "bucket", F.col("before").alias("ahead"), "rest")
+        cut = scratch.write(cut)
+        inside = light.join(F.broadcast(cut), [*cell, "bucket"])
+        inside = inside.withColumn("upto", F.col("ahead") + F.coalesce(F.sum("mix_key.size").over(run.orderBy("mix_key")), F.lit(0)) + F.col("mix_key.size"))
+        fits = F.col("upto") <= F.col("rest")
+        ends = inside.groupBy(*cell, "bucket").agg(F.max(F.when(fits, F.col("mix_key"))).alias("last_key"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("ahead")).alias("got"), F.min(F.when(~fits, F.col("mix_key"))).alias("next_key"))
+        out = defaultdict(list)
+        for r in ends.collect():
+            out[tuple(r["mix_pattern"])].append(r)
+        return out
 
     # Of the crossing documents those are taken, the largest first, that still fit the
-    # pattern's flow, and the least of the others if it then comes nearer.
-    by_pattern = defaultdict(list)
-    for r in ends:
-        by_pattern[tuple(r["mix_pattern"])].append(r)
-    plan, cuts = [], []
-    for p, n in capacity.items():
-        own = by_pattern[p]
+    # pattern's flow, and in the end the least of the others if it then comes nearer.
+    def crossing(p: tuple, own: list, last: bool) -> tuple[set, int]:
         left = once[p] - sum(r["got"] for r in own)
-        plan.append((list(p), sum(sizes[s] for s in p), float(sum(target[s] for s in p)), flow[p] // max(n, 1)))
-        chosen, free = set(), [r for r in own if r["next_key"] is not None]
-        free.sort(key=lambda r: -r["next_key"]["size"])
+        chosen, free = set(), sorted((r for r in own if r["next_key"] is not None), key=lambda r: -r["next_key"]["size"])
         for r in free:
             if r["next_key"]["size"] <= left:
                 chosen.add(r["mix_class"])
                 left -= r["next_key"]["size"]
         near = min((r for r in free if r["mix_class"] not in chosen), key=lambda r: r["next_key"]["size"], default=None)
-        if near is not None and near["next_key"]["size"] < 2 * left:
+        if last and near is not None and near["next_key"]["size"] < 2 * left:
             chosen.add(near["mix_class"])
-        for r in own:
+        return chosen, left
+
+    # What the classes of long documents can't meet goes to those of the shortest ones.
+    first = ends_of(wanted)
+    for p, by in words_of.items():
+        chosen, left = crossing(p, first[p], False)
+        got = dict.fromkeys(by, 0) | {r["mix_class"]: r["got"] + (r["next_key"]["size"] if r["mix_class"] in chosen else 0) for r in first[p]}
+        for c in sorted(by):
+            more = max(min(by[c] - got[c], left), 0)
+            wanted[p][c] = got[c] + more
+            left -= more
+    by_pattern = ends_of(wanted)
+    plan, cuts = [], []
+    for p, n in capacity.items():
+        chosen, _ = crossing(p, by_pattern[p], True)
+        plan.append((list(p), sum(sizes[s] for s in p), float(sum(target[s] for s in p)), flow[p] // max(n, 1)))
+        for r in by_pattern[p]:
             key = r["next_key"] if r["mix_class"] in chosen else r["last_key"]
             cuts.append((list(p), r["mix_class"], r["bucket"], tuple(key) if key else None))
     plan = spark.createDataFrame(plan, "mix_pattern array<string>, source_size long, target double, base long")
