@@ -10,8 +10,8 @@ With 5 chunks of 6 slots and 2 errors, all pairs at a distance of up to 14 of 30
 and pairs at the similarity 0.8 (mean distance 6) fail to meet with probability 1e-5.
 
 A key's group is never expanded into all its pairs. First each member is held against
-one member of the group, which a hash of key and set picks, so that a set meets other
-ones under other keys; the nearest few of them are confirmed, and what this links is
+one member of the group, which a hash of chunk and set picks, so that the keys of a chunk
+agree on few members, and those of another chunk on others; the nearest few of them are confirmed, and what this links is
 contracted. Only where members of different classes are left are those outside the
 group's largest class joined with the group, which is dealt out in blocks. So a group of
 n near copies costs a few times n comparisons, and a link between different texts that
@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index
         described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
     )
     keys = _keys(nodes, index)
-    groups = scratch.write(keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1"))
+    chunk = F.floor(F.col("key").bitwiseAND(F.lit(1023)) / (len(_variants(index)) // index.chunks))
+    groups = scratch.write(keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64(chunk, "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1"))
     met = scratch.write(keys.join(groups, "key").where("set_id <> low"))
 
     side = lambda s: nodes.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
