@@ -1,14 +1,15 @@
 """Byte-level BPE ids for whole Arrow batches.
 
 The vocabulary file is the `tokenizers` library's; its merges are run by tiktoken, which
-is several times as fast and gives the same ids (tests compare them). Special tokens'
-strings in a text are ordinary text.
+is several times as fast and gives the same ids (tests compare them). An added token's
+string in a text is that one token, as in the library. A text that tiktoken can't split
+(runs of about a million spaces) goes to the library itself.
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = _byte_letters()
-        added = {x["content"] for x in model.get("added_tokens", ())}
+        if any(x.get(f) for x in model.get("added_tokens", ()) for f in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens that take in what is around them: {path}")
+        added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
         ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
-        self._bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._encode = self._bpe.encode_ordinary
+        self.path = path
+        self._bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        ranks |= {t.encode(): i for t, i in added.items()}
         size = max(ranks.values()) + 1
         self.n_bytes = np.zeros(size, dtype=np.int64)
         self.ends_sentence = np.zeros(size, dtype=bool)
@@ -51,6 +55,18 @@ class Encoder:
             self.n_bytes[i] = len(token)
             self.ends_sentence[i] = b"\n" in token or token.rstrip(b" \t\"')").endswith((b".", b"!", b"?"))
 
+    @cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _encode(self, text: str) -> list[int]:
+        try:
+            return self._bpe.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # the pattern's backtracking ran out of stack
+            return self._library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and each text's first position in it (n + 1)."""
         # A lone surrogate can't come from UTF-8, so no text fails here.

@@ -190,6 +190,35 @@ def test_ids_equal_the_vocabulary_librarys(spark, sf):
         assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_texts_with_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(default_path()), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"é.{end}{end}  \n {end} 's", f"<|endoftext|{end}>", f"  {end}\n\n{end[:-1]}"]
+    enc = encoder(default_path())
+    ids, at = enc.encode(texts)
+    for k, t in enumerate(texts):
+        mine = ids[at[k] : at[k + 1]]
+        assert mine.tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert enc.n_bytes[mine].sum() == len(t.encode())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for r in token_counts(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("all")).collect():
+        assert r["n"] == r["all"] == want[r["doc_id"]]
+    got = {r["doc_id"]: r for r in pack(docs.coalesce(1)).where("start = 0").collect()}
+    whole = np.array([*tok.encode(texts[0], add_special_tokens=False).ids, 1], dtype="<u4")
+    assert got[0]["doc_tokens"] == got[0]["length"] == len(whole) and got[0]["ids_crc32"] == zlib.crc32(whole.tobytes())
+    assert {i: r["doc_tokens"] - 1 for i, r in got.items()} == want
+
+
+def test_ids_of_a_very_long_run_of_spaces():
+    from tokenizers import Tokenizer
+
+    text = "a" + " " * 1_500_000 + "b"
+    ids, _ = encoder(default_path()).encode([text])
+    assert ids.tolist() == Tokenizer.from_file(default_path()).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", ["first"])
 def test_token_counts_add_up(spark, sf, rule):
     for r in token_counts(table(spark, sf, "documents"), rule=rule).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("all")).collect():
