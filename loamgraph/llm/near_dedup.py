@@ -8,6 +8,7 @@ every such pair meets under some key. Candidates are confirmed on their full set
 
 With 5 chunks of 6 slots and 2 errors, all pairs at a distance of up to 14 of 30 meet,
 and pairs at the similarity 0.8 (mean distance 6) fail to meet with probability 1e-5.
+All that meet, at any distance, are confirmed where they could join two classes.
 
 A key's group is never expanded into all its pairs. First each member is held against
 one member of the group, which a hash of key and set picks, so that a set meets other
@@ -50,9 +51,6 @@ class Index:
     chunks: int = 5
     slots: int = 6
     errors: int = 2
-    #: Candidates at a greater distance are dropped. At the similarity 0.8 that is one
-    #: pair in 2e4; the guarantee needs chunks * (errors + 1) - 1 at least.
-    max_distance: int = 15
 
     @property
     def hashes(self) -> int:
@@ -292,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index
     side = lambda s: nodes.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
     stars = met.select(F.col("set_id").alias("a"), F.col("low").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").withColumn("distance", _distance(F.col("sig_a"), F.col("sig_b"), index))
-    stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent) & (F.col("distance") <= index.max_distance))
+    stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent))
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
     stars = stars.select("a", "b", "distance").withColumn("place", place).where(F.col("place") <= FIRST_LINKS).select("a", "b")
     confirm = _Confirm(docs, described.where("set_id is not null").select("set_id", "doc_id"), scratch, width, percent)
@@ -334,7 +332,7 @@ def _left_over(scratch: Scratch, nodes: DataFrame, keys: DataFrame, groups: Data
     l, r = named(left, "l"), named(right, "r")
     sides = F.col("signature_l"), F.col("signature_r")
     # A pair that meets under several keys comes from the first of them only.
-    near = (_distance(*sides, index) <= index.max_distance) & _is_first_key(l["key"].bitwiseAND(F.lit(1023)), _equal_slots(*sides, index), index)
-    found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & near)
+    first = _is_first_key(l["key"].bitwiseAND(F.lit(1023)), _equal_slots(*sides, index), index)
+    found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & first)
     found = found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
     return found

@@ -253,6 +253,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == {(i, len(s), root[i], root[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_at_a_great_signature_distance(spark):
+    # Pairs at the similarity 4 of 5 that share a key, with 16 to 18 of 30 slots differing.
+    docs = []
+    for k in (6350, 32287, 168937, 207646):
+        words = [f"{c}{k}" for c in "abcde"]
+        docs += [(2 * k, " ".join(words[:4])), (2 * k + 1, " ".join(words))]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, i - i % 2) for i, _ in docs}
+
+
 def test_odd_rows(spark, odd, no_labels):
     n = len(ODD)
     for f in (quality, toxicity):
