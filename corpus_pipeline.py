@@ -61,8 +61,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained models and a tokenizer can't be written in SQL; the tests compare the stages
-#: with plain versions instead.
+#: Trained models and a tokenizer can't be written in SQL. No stage is compared with a
+#: plain version yet.
 ORACLE_SQL = None
 
 

@@ -225,6 +225,29 @@ def test_token_counts_add_up(spark, sf, rule):
         assert r["n"] == r["all"]
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "majority", "split"])
+def test_token_counts_against_brute_force(spark, rule):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(default_path())
+    texts = ["a first line\n\n\nand  another one, internationally\n", "x", "один два 😀 три\nfour", "a <|endoftext|> b\r\n" * 3]
+    docs = [(i, t, [(a, min(a + w, len(t))) for w in (3, 7) for a in range(0, len(t), w)]) for i, t in enumerate(texts)]
+    want = {}
+    for i, t, spans in docs:
+        for k, (lo, hi) in enumerate(spans):
+            n = 0.0
+            for a, b in tok.encode(t, add_special_tokens=False).offsets:
+                inside = max(0, min(b, hi) - max(a, lo))
+                n += {
+                    "first": lo <= a < hi, "last": lo < b <= hi, "split": inside / (b - a),
+                    "majority": 2 * inside > b - a or (2 * inside == b - a and a >= lo),
+                }[rule]
+            want[i, k] = n
+    frame = spark.createDataFrame(docs, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in token_counts(frame, rule=rule, sections="spans").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = []
