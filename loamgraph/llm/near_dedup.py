@@ -17,6 +17,13 @@ contracted. Only where members of different classes are left are those outside t
 group's largest class joined with the group, which is dealt out in blocks. So a group of
 n near copies costs a few times n comparisons, and a link between different texts that
 could join two classes is still never skipped.
+
+That join lets no pair through that an exact bound rules out. Each set has a bitmap of
+the parities of its hashes in PARITY_BITS cells. A cell that differs needs a hash that
+one of the two sets has alone, so the differing cells are at most the symmetric
+difference, and a pair with more of them than the similarity allows can't be linked.
+Sets of some 5,000 shingles and more fill the cells, so that the bound is met by all of
+their pairs; these are all confirmed.
 """
 
 from __future__ import annotations
@@ -36,6 +43,16 @@ from pyspark.sql import Window as W
 from ..runtime import Scratch
 from .batches import mix, string_column, text_slices, word_bounds, word_hashes
 
+#: Columns that hold a row's key while rows are chosen.
+KEYS = ("__near_row_key", "__near_row_key_2")
+
+#: Cells of a set's bitmap of parities.
+PARITY_BITS = 2048
+
+#: A set with more rows than this and one in HOT_SHARE of all is joined by a broadcast;
+#: there are fewer than HOT_SHARE such sets.
+HOT_ROWS, HOT_SHARE = 64, 4096
+
 #: Rows of a key's group that one task of the second join holds.
 BLOCK_ROWS = 2048
 
@@ -81,6 +98,12 @@ def shingle_sets(batch_offs: np.ndarray, data: np.ndarray, width: int) -> tuple[
     return out, np.searchsorted(row, np.arange(len(n) + 1))
 
 
+def row_key() -> Column:
+    """96 bits of a hash of doc_id and text."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.struct(F.xxhash64(doc_id, "text").alias("a"), F.hash("text", doc_id).alias("b"))
+
+
 def signatures(sets: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
     """16-bit minimum hashes (rows x hashes) of non-empty sets."""
     factors = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -94,6 +117,19 @@ def signatures(sets: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
+def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, 64-bit words whose bits are the parities of its hashes' cells."""
+    n, words = len(at) - 1, PARITY_BITS // 64
+    out = np.zeros((n, words), dtype=np.int64)
+    cell = (mix(sets) >> np.uint64(64 - (PARITY_BITS - 1).bit_length())).astype(np.int64)
+    for lo in range(0, n, 512):
+        hi = min(lo + 512, n)
+        row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        odd = np.bincount(row * PARITY_BITS + cell[at[lo] : at[hi]], minlength=(hi - lo) * PARITY_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(bool).reshape(hi - lo, PARITY_BITS), axis=1).view(np.int64)
+    return out
+
+
 def _packed(signature: np.ndarray) -> np.ndarray:
     """Four 16-bit slots in each 64-bit word; the last word is filled with zeros."""
     n, k = signature.shape
@@ -106,8 +142,14 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _set_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    run_sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(1)))))
+    return mix(mix(run_sum[at[1:]] - run_sum[at[:-1]]) + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
 def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
-    """doc_id, n_shingles, set_id (a hash of the whole set; null if empty), signature."""
+    """doc_id, row_key (of doc_id and text), n_shingles, set_id (a hash of the whole set;
+    null if empty), signature, bits (the parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,17 +157,17 @@ def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
                 sets, at = shingle_sets(offs, data, width)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                run_sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(1)))))
-                key = mix(mix(run_sum[at[1:]] - run_sum[at[:-1]]) + n.astype(np.uint64)).view(np.int64)
                 words = np.zeros((hi - lo, -(-index.hashes // 4)), dtype=np.int64)
                 if len(some):
                     words[some] = _packed(signatures(sets, np.append(at[some], len(sets)), index.hashes))
+                bits = parities(sets, at)
                 yield pa.record_batch([
-                    b.column(0)[lo:hi], pa.array(n), pa.array(key, mask=n == 0),
-                    _lists(words.ravel(), np.arange(hi - lo + 1) * words.shape[1]),
-                ], names=["doc_id", "n_shingles", "set_id", "signature"])
+                    b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(n), pa.array(_set_ids(sets, at), mask=n == 0),
+                    _lists(words.ravel(), np.arange(hi - lo + 1) * words.shape[1]), _lists(bits.ravel(), np.arange(hi - lo + 1) * bits.shape[1]),
+                ], names=["doc_id", "row_key", "n_shingles", "set_id", "signature", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, signature array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key struct<a: long, b: int>, n_shingles long, set_id long, signature array<long>, bits array<long>")
 
 
 def _keys(nodes: DataFrame, index: Index) -> DataFrame:
@@ -224,8 +266,8 @@ class _Confirm:
     """Checks candidate pairs of sets on the whole sets, made anew from the texts of
     one document for each set."""
 
-    def __init__(self, docs: DataFrame, described: DataFrame, scratch: Scratch, width: int, percent: int):
-        self.docs, self.described, self.scratch, self.width, self.percent = docs, described, scratch, width, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch, width: int, percent: int):
+        self.docs, self.nodes, self.scratch, self.width, self.percent = docs, nodes, scratch, width, percent
 
     def _sets(self, ids: DataFrame, count: int) -> DataFrame:
         width = self.width
@@ -234,10 +276,7 @@ class _Confirm:
             for b in batches:
                 for lo, hi, offs, data in text_slices(string_column(b, "text")):
                     sets, at = shingle_sets(offs, data, width)
-                    n = np.diff(at)
-                    run_sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(1)))))
-                    key = mix(mix(run_sum[at[1:]] - run_sum[at[:-1]]) + n.astype(np.uint64)).view(np.int64)
-                    yield pa.record_batch([pa.array(key), _lists(sets, at)], names=["set_id", "members"])
+                    yield pa.record_batch([pa.array(_set_ids(sets, at)), _lists(sets, at)], names=["set_id", "members"])
 
         wanted = ids.select("doc_id").distinct()
         docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -252,7 +291,7 @@ class _Confirm:
         """The pairs (a, b) whose sets reach the similarity."""
         pairs = self.scratch.write(pairs)
         used = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        ids = self.scratch.write(self.described.join(used, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+        ids = self.scratch.write(self.nodes.select("set_id", F.col("least_doc").alias("doc_id")).join(used, "set_id", "left_semi"))
         sets = self.scratch.write(self._sets(ids, ids.count()))
         full = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
@@ -263,29 +302,22 @@ class _Confirm:
         return out
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index: Index = Index()) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
-
-    A document's set holds the distinct hashes of its shingles of `width` words, A-Z
-    lower-cased. Documents are linked where 100 * intersection >= percent * union;
-    component_id is the least doc_id that links reach, kept says that it is the
-    document's own.
-
-    Documents without words, or with null text, have empty sets and link with nothing.
-    Shorter ones have their whole sequence as their one shingle. Rows with equal sets
-    are linked, at any number. A null doc_id takes part and gets its component's id; it
-    is null, and the row kept, where the component has no other. Texts are read whole.
-    Repeated rows stay, each with its own result. Only doc_id and text are read.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _classes(docs: DataFrame, width: int, percent: int, index: Index) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and for each set: its class (label), rows, least_doc and
+    first_row."""
+    scratch = Scratch(docs.sparkSession)
     described = scratch.write(_described(docs, width, index))
+    # Nulls order last, as they do in no struct of Spark's.
+    first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     nodes = scratch.write(
-        described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
+        described.where("set_id is not null").groupBy("set_id").agg(
+            F.min("doc_id").alias("least_doc"), F.min(first_row).alias("first_row"), F.count("*").alias("copies"),
+            F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("bits").alias("bits"),
+        )
     )
     keys = _keys(nodes, index)
     groups = scratch.write(keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1"))
-    met = scratch.write(keys.join(groups, "key").where("set_id <> low"))
+    met = scratch.write(keys.join(groups.drop("rows"), "key").where("set_id <> low"))
 
     side = lambda s: nodes.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
     stars = met.select(F.col("set_id").alias("a"), F.col("low").alias("b")).distinct()
@@ -293,46 +325,89 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index
     stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent))
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
     stars = stars.select("a", "b", "distance").withColumn("place", place).where(F.col("place") <= FIRST_LINKS).select("a", "b")
-    confirm = _Confirm(docs, described.where("set_id is not null").select("set_id", "doc_id"), scratch, width, percent)
+    confirm = _Confirm(docs, nodes, scratch, width, percent)
     links = confirm.links(stars)
     label = scratch.write(components(scratch, links))
 
-    pairs = _left_over(scratch, nodes, keys, groups, label, percent, index)
+    pairs = _left_over(scratch, nodes, met.select("key", "set_id").unionByName(groups.select("key", F.col("low").alias("set_id"))), label, percent, index)
     if pairs is not None:
-        more = confirm.links(pairs)
-        mapped = more
+        mapped = confirm.links(pairs)
         for s in ("a", "b"):
             mapped = mapped.join(label.withColumnRenamed("node", s), s, "left").withColumn(s, F.coalesce("label", s)).drop("label")
         joined = scratch.write(components(scratch, mapped.select("a", "b")))
         old = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
         label = scratch.write(old.unionByName(joined.join(label, "node", "left_anti")))
 
-    grouped = nodes.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least_doc", F.coalesce("label", "set_id").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    final = scratch.write(grouped.join(least, "label").select("set_id", "component_id"))
-    out = described.drop("signature").join(final, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    sets = nodes.select("set_id", "copies", "least_doc", "first_row").join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return described, scratch.write(sets.withColumn("label", F.coalesce("label", "set_id")))
 
 
-def _left_over(scratch: Scratch, nodes: DataFrame, keys: DataFrame, groups: DataFrame, label: DataFrame, percent: int, index: Index) -> DataFrame | None:
-    """Candidate pairs of members of one key's group that are in different classes so far."""
-    met = keys.join(groups.select("key"), "key", "left_semi")
-    member = met.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, index: Index = Index()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+
+    A document's set holds the distinct hashes of its shingles of `width` words, A-Z
+    lower-cased. Documents are linked where 100 * intersection >= percent * union;
+    component_id is the least doc_id that links reach, kept says that it is the
+    document's own.
+
+    Documents without words, or with null text, have empty sets and link with nothing.
+    Shorter ones have their whole sequence as their one shingle. Rows with equal sets
+    are linked, at any number. A null doc_id takes part and gets its component's id; it
+    is null, and the row kept, where the component has no other. Texts are read whole.
+    Repeated rows stay, each with its own result. Only doc_id and text are read.
+    """
+    described, sets = _classes(docs, width, percent, index)
+    least = sets.groupBy("label").agg(F.min("least_doc").alias("component_id"))
+    final = sets.select("set_id", "copies", "label").join(least, "label").select("set_id", "copies", "component_id")
+    final = Scratch(docs.sparkSession).write(final)
+    rows = described.select("doc_id", "n_shingles", "set_id")
+    # The sets of many rows: fewer than HOT_SHARE by their least number of rows.
+    hot = F.broadcast(final.where(F.col("copies") > HOT_ROWS + rows.count() // HOT_SHARE).drop("copies"))
+    some = rows.where("set_id is not null")
+    out = some.join(hot, "set_id").unionByName(some.join(hot, "set_id", "left_anti").join(final.drop("copies"), "set_id"))
+    out = out.unionByName(rows.where("set_id is null").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, index: Index = Index()) -> DataFrame:
+    """The rows of `docs`, all columns, that are the first of their class of near
+    duplicates: by doc_id, null last, then by a hash of doc_id and text.
+
+    Rows without words are in no class and stay. Rows equal in doc_id and text count as
+    one, of which one stays. Rows that share a doc_id but not the text are told apart.
+    """
+    described, sets = _classes(docs, width, percent, index)
+    first = sets.groupBy("label").agg(F.min("first_row").alias("first_row"))
+    keys = first.select("first_row.row_key").unionByName(described.where("set_id is null").select("row_key").distinct())
+    kept = Scratch(docs.sparkSession).write(keys.select(F.col("row_key.a").alias(KEYS[0]), F.col("row_key.b").alias(KEYS[1])))
+    rows = docs.withColumns(dict(zip(KEYS, (row_key()["a"], row_key()["b"]))))
+    return rows.join(kept, list(KEYS), "left_semi").dropDuplicates(list(KEYS)).select(docs.columns)
+
+
+def _left_over(scratch: Scratch, nodes: DataFrame, members: DataFrame, label: DataFrame, percent: int, index: Index) -> DataFrame | None:
+    """Candidate pairs of members of one key's group that are in different classes so
+    far. members: key and set_id of all groups of two and more."""
+    member = members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
     mixed = member.groupBy("key", "label").agg(F.count("*").alias("rows"))
     mixed = mixed.groupBy("key").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "label")).alias("main")).where("labels > 1")
-    mixed = scratch.write(mixed.select("key", "main.label", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")).withColumnRenamed("label", "main"))
+    mixed = scratch.write(mixed.select("key", F.col("main.label").alias("main"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
     if mixed.isEmpty():
         return None
-    member = scratch.write(member.join(mixed, "key").join(nodes.select("set_id", "n", "signature"), "set_id"))
+    bits = [F.col("bits")[i].alias(f"bits_{i}") for i in range(PARITY_BITS // 64)]
+    member = scratch.write(member.join(mixed, "key").join(nodes.select("set_id", "n", "signature", *bits), "set_id"))
     left = member.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    named = lambda t, s: t.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "label", "n", "signature")))
-    rest = (F.col("label_l") != F.col("label_r")) & _alike(F.col("n_l"), F.col("n_r"), percent)
+    # By number, since the work goes with the pairs and not with the bytes of a partition.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    carried = ("set_id", "label", "n", "signature", *(f"bits_{i}" for i in range(PARITY_BITS // 64)))
+    named = lambda t, s: t.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in carried)).repartition(parts, "key", "block")
     l, r = named(left, "l"), named(right, "r")
     sides = F.col("signature_l"), F.col("signature_r")
+    # A symmetric difference d allows the similarity s where d <= (n + m) * (1 - s) / (1 + s).
+    apart = reduce(add, (F.bit_count(F.col(f"bits_{i}_l").bitwiseXOR(F.col(f"bits_{i}_r"))) for i in range(PARITY_BITS // 64)))
+    near = apart * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent)
+    rest = (F.col("label_l") != F.col("label_r")) & _alike(F.col("n_l"), F.col("n_r"), percent) & near
     # A pair that meets under several keys comes from the first of them only.
     first = _is_first_key(l["key"].bitwiseAND(F.lit(1023)), _equal_slots(*sides, index), index)
     found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & first)
-    found = found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
-    return found
+    return found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
