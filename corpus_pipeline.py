@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm.mixing import mix_sources
-from loamgraph.llm.near_dedup import near_duplicates
+from loamgraph.llm.near_dedup import keep_one
 from loamgraph.llm.packing import pack
 from loamgraph.llm.quality import keep_good
 from loamgraph.llm.toxicity import keep_clean
@@ -33,11 +33,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five-word shingles, similarity 0.8
-    or more. Rows equal in doc_id and text count as one document."""
+    or more. Null and empty texts are in no class and stay. Rows equal in doc_id and text
+    count as one document; rows that share a doc_id but not the text are told apart."""
     ship(spark)
-    found = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    return docs.join(found, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return keep_one(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
