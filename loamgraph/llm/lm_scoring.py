@@ -1,16 +1,21 @@
 """Log-likelihood of whole documents under a gated recurrent language model.
 
-The output softmax is factored by classes: a GRU, fed with the class of the word before,
-gives the distribution of the next word's class, and within a class a word has its share
-of the training count with one added, one more word standing for all unseen ones. The
-most frequent words have a class each, others share one by their last two bytes, so any
-unseen word has a class too. Counts and class sizes come from all training tokens.
+The output softmax is factored by classes. Its units are the most frequent words, one
+each, the end, and one for all other words of each ending (their last two bytes), so any
+unseen word has a unit too. The units, by frequency, are cut into classes of about the
+same share of all tokens. A GRU, fed with the unit before, gives from its state the
+distribution of the next unit's class and, by weights of each unit, the distribution of
+the units within that class. A word that shares its unit with others has in it its share
+of the training count with one added, one more word standing for all unseen ones. Counts
+come from all training tokens.
 
 Training is by truncated back-propagation in numpy. A first model is fitted to a few
 documents; then every partition goes on from it over all of its training documents, and
-the weights are averaged by tokens. Scoring runs documents side by side in lanes, window
-by window; a lane's state is carried from window to window and reset at a document's
-start, so the likelihood is that of the complete document.
+the weights are averaged by tokens. So the score of a text depends a little on how the
+training rows are dealt out to partitions; for the same layout it is the same. Scoring
+runs documents side by side in lanes, window by window; a lane's state is carried from
+window to window and reset at a document's start, so the likelihood is that of the
+complete document.
 """
 
 from __future__ import annotations
@@ -26,65 +31,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .batches import lower_ascii, string_column, text_slices, word_bounds, word_hashes
+from .batches import SLICE_BYTES, lower_ascii, string_column, text_slices, word_bounds, word_hashes
 from .labelled import split_of
 
-#: A word is looked up in a broadcast table if its share of the training tokens is at
-#: least 1 / FREQUENT, which at most FREQUENT words can have; others are joined.
-FREQUENT = 1 << 20
+#: Bytes of texts that are dealt out to lanes together, about.
+GROUP_BYTES = 4 << 20
+
+#: Rows of word counts that a task holds before it passes them on.
+HELD_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    """singles and endings: classes of one word and of one ending. hidden: state size.
-    window: steps of truncated back-propagation. lanes: documents side by side.
-    first_docs: documents of the first model, about; all training documents follow."""
-
-    singles: int = 63
-    endings: int = 63
+    """words: units of one word. endings: units of one ending. classes: of units, about.
+    hidden: state size. window: steps of truncated back-propagation. lanes: documents
+    side by side. first_docs: documents of the first model, at most; all training
+    documents follow. frequent: a word is looked up in a broadcast table if its share of
+    the training tokens is at least 1 / frequent, which at most `frequent` words can
+    have; others are joined. The result is the same."""
+
+    words: int = 960
+    endings: int = 62
+    classes: int = 32
     hidden: int = 16
     window: int = 32
     lanes: int = 256
     first_docs: int = 400
     first_epochs: int = 4
+    frequent: int = 1 << 20
     seed: int = 9
 
     @property
-    def classes(self) -> int:
-        return self.singles + self.endings + 2
+    def units(self) -> int:
+        """0: the end; then words; then endings; the last: all other endings."""
+        return self.words + self.endings + 2
 
 
-class Gru:
-    """weights: A (input class -> gates), U (state -> gates), c; O (state -> classes), d."""
+def classes_of(weight: np.ndarray, most: int) -> np.ndarray:
+    """For each unit its class. The units, by falling weight, are cut into runs of about
+    the same total weight."""
+    order = np.lexsort((np.arange(len(weight)), -weight))
+    before = np.cumsum(weight[order]) - weight[order]
+    out = np.empty(len(weight), dtype=np.int64)
+    out[order] = np.minimum(before / weight.sum() * most, most - 1).astype(np.int64)
+    return np.unique(out, return_inverse=True)[1]
+
 
-    def __init__(self, s: Settings, weights: dict[str, np.ndarray] | None = None):
-        rng, h, n = np.random.default_rng(s.seed), s.hidden, s.classes
-        shapes = {"A": (n, 3 * h), "U": (h, 3 * h), "c": (3 * h,), "O": (h, n), "d": (n,)}
-        self.s, self.shapes = s, shapes
-        self.w = weights or {k: (rng.normal(size=v) * (0.3 if len(v) == 2 else 0)).astype(np.float32) for k, v in shapes.items()}
+class Gru:
+    """weights: A (unit -> gates), U (state -> gates), c; O (state -> classes), d; Q (unit
+    -> its weights on the state), e. class_of: each unit's class."""
+
+    def __init__(self, s: Settings, class_of: np.ndarray, weights: dict[str, np.ndarray] | None = None, dtype=np.float32):
+        rng, h, n, m = np.random.default_rng(s.seed), s.hidden, len(class_of), int(class_of.max()) + 1
+        shapes = {"A": (n, 3 * h), "U": (h, 3 * h), "c": (3 * h,), "O": (h, m), "d": (m,), "Q": (n, h), "e": (n,)}
+        self.s, self.shapes, self.dtype, self.class_of = s, shapes, dtype, class_of
+        self.w = weights or {k: (rng.normal(size=v) * (0.3 if len(v) == 2 else 0)).astype(dtype) for k, v in shapes.items()}
         self.first = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.second = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.step = 0
+        order = np.argsort(class_of, kind="stable")
+        self.members = np.split(order, np.cumsum(np.bincount(class_of, minlength=m))[:-1])
+        self.place = np.empty(n, dtype=np.int64)
+        for units in self.members:
+            self.place[units] = np.arange(len(units))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.shapes]).astype(np.float64)
 
     @classmethod
-    def of(cls, s: Settings, flat: np.ndarray) -> Gru:
-        out, at = cls(s), 0
+    def of(cls, s: Settings, class_of: np.ndarray, flat: np.ndarray) -> Gru:
+        out, at = cls(s, class_of), 0
         for k, shape in out.shapes.items():
             size = int(np.prod(shape))
-            out.w[k] = flat[at : at + size].reshape(shape).astype(np.float32)
+            out.w[k] = flat[at : at + size].reshape(shape).astype(out.dtype)
             at += size
         return out
 
-    def forward(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
-        """inputs, fresh (steps x lanes): class before, and 0 where a document starts."""
+    def start_from(self, weight: np.ndarray) -> None:
+        """Biases that give each unit its share of the weight."""
+        by_class = np.bincount(self.class_of, weights=weight)
+        self.w["d"] = np.log(by_class / by_class.sum()).astype(self.dtype)
+        self.w["e"] = np.log(weight / by_class[self.class_of]).astype(self.dtype)
+
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """inputs, fresh (steps x lanes): unit before, and 0 where a document starts.
+        The states after each step, and what the way back needs."""
         h, w = self.s.hidden, self.w
         given = w["A"][inputs] + w["c"]
         steps, lanes = inputs.shape
-        kept = np.empty((steps, 5, lanes, h), dtype=np.float32)  # state before, z, r, u, n
-        after = np.empty((steps, lanes, h), dtype=np.float32)
+        kept = np.empty((steps, 5, lanes, h), dtype=self.dtype)  # state before, z, r, u, n
+        after = np.empty((steps, lanes, h), dtype=self.dtype)
         for t in range(steps):
             state = state * fresh[t][:, None]
             back = state @ w["U"]
@@ -94,27 +130,50 @@ class Gru:
             kept[t] = state, z, r, back[:, 2 * h :], n
             state = n + z * (state - n)
             after[t] = state
-        logits = after.reshape(-1, h) @ w["O"] + w["d"]
-        logits -= logits.max(1, keepdims=True)
-        share = np.exp(logits)
-        total = share.sum(1, keepdims=True)
-        return {"kept": kept, "after": after, "log": logits - np.log(total), "share": share / total, "state": state}
-
-    def train(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
-        """One step of Adam on a window; returns the state after it."""
-        f, h, w = self.forward(inputs, fresh, state), self.s.hidden, self.w
+        return after, kept
+
+    def outputs(self, after: np.ndarray, targets: np.ndarray, used: np.ndarray | None = None):
+        """Natural log-probability of each target unit (flat). With `used`, the weights
+        of the targets in the loss: also its gradients, and those of the states."""
+        w, n = self.w, len(targets)
+        wanted = self.class_of[targets]
+        log, share = _log_softmax(after @ w["O"] + w["d"])
+        out = log[np.arange(n), wanted]
+        g = down = None
+        if used is not None:
+            share[np.arange(n), wanted] -= 1
+            share *= used[:, None]
+            g = {"O": after.T @ share, "d": share.sum(0), "Q": np.zeros_like(w["Q"]), "e": np.zeros_like(w["e"])}
+            down = share @ w["O"].T
+        order = np.argsort(wanted, kind="stable")
+        bounds = np.searchsorted(wanted[order], np.arange(len(self.members) + 1))
+        for k, units in enumerate(self.members):
+            rows = order[bounds[k] : bounds[k + 1]]
+            if not len(rows) or len(units) == 1:
+                continue
+            x, q, own = after[rows], w["Q"][units], self.place[targets[rows]]
+            log, share = _log_softmax(x @ q.T + w["e"][units])
+            out[rows] += log[np.arange(len(rows)), own]
+            if used is not None:
+                share[np.arange(len(rows)), own] -= 1
+                share *= used[rows, None]
+                g["Q"][units], g["e"][units] = share.T @ x, share.sum(0)
+                down[rows] += share @ q
+        return out, g, down
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray):
+        """Mean loss of a window, its gradients and the state after it."""
+        h, w = self.s.hidden, self.w
+        after, kept = self.states(inputs, fresh, state)
         steps, lanes = inputs.shape
-        error = f["share"]
-        error[np.arange(len(error)), targets.ravel()] -= 1
-        error *= used.reshape(-1, 1) / max(used.sum(), 1)
-        after = f["after"].reshape(-1, h)
-        g = {"O": after.T @ error, "d": error.sum(0)}
-        down = (error @ w["O"].T).reshape(steps, lanes, h)
-        gates = np.empty((steps, lanes, 3 * h), dtype=np.float32)
-        back = np.empty((steps, lanes, 3 * h), dtype=np.float32)
-        later = np.zeros((lanes, h), dtype=np.float32)
+        weight = (used.ravel() / max(used.sum(), 1)).astype(self.dtype)
+        log, g, down = self.outputs(after.reshape(-1, h), targets.ravel(), weight)
+        down = down.reshape(steps, lanes, h)
+        gates = np.empty((steps, lanes, 3 * h), dtype=self.dtype)
+        back = np.empty((steps, lanes, 3 * h), dtype=self.dtype)
+        later = np.zeros((lanes, h), dtype=self.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, u, n = f["kept"][t]
+            before, z, r, u, n = kept[t]
             d = down[t] + later
             dn = d * (1 - z) * (1 - n * n)
             gates[t, :, :h] = d * (before - n) * z * (1 - z)
@@ -124,20 +183,33 @@ class Gru:
             back[t, :, 2 * h :] = dn * r
             later = (d * z + back[t] @ w["U"].T) * fresh[t][:, None]
         flat = gates.reshape(-1, 3 * h)
-        g["U"] = f["kept"][:, 0].reshape(-1, h).T @ back.reshape(-1, 3 * h)
+        g["U"] = kept[:, 0].reshape(-1, h).T @ back.reshape(-1, 3 * h)
         g["c"] = flat.sum(0)
         order = np.argsort(inputs.ravel(), kind="stable")
         found, at = np.unique(inputs.ravel()[order], return_index=True)
         g["A"] = np.zeros_like(w["A"])
         g["A"][found] = np.add.reduceat(flat[order], at, axis=0)
+        return -float(log @ weight), g, after[-1]
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
+        """One step of Adam on a window; returns the state after it."""
+        _, g, state = self.gradients(inputs, targets, used, fresh, state)
         self.step += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for k, x in g.items():
-            x = x * min(1.0, 1.0 / max(norm, 1e-9))
-            self.first[k] = 0.9 * self.first[k] + 0.1 * x
-            self.second[k] = 0.99 * self.second[k] + 0.01 * x * x
-            w[k] -= (rate / (1 - 0.9**self.step) * self.first[k] / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
-        return f["state"]
+            x = x * self.dtype(min(1.0, 1.0 / max(norm, 1e-9)))
+            first, second = self.first[k], self.second[k]
+            first += self.dtype(0.1) * (x - first)
+            second += self.dtype(0.01) * (x * x - second)
+            self.w[k] -= self.dtype(rate / (1 - 0.9**self.step)) * first / (np.sqrt(second) * self.dtype(1 / np.sqrt(1 - 0.99**self.step)) + self.dtype(1e-8))
+        return state
+
+
+def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    logits = logits - logits.max(1, keepdims=True)
+    share = np.exp(logits)
+    total = share.sum(1, keepdims=True)
+    return logits - np.log(total), share / total
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[np.ndarray]:
@@ -152,9 +224,9 @@ def lanes_of(lengths: np.ndarray, most: int) -> list[np.ndarray]:
     return [np.array(x) for x in lanes]
 
 
-def windows(classes: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(units: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
     """(inputs, targets, used, fresh, document) of each window, steps x lanes, over all
-    documents; at: where each one's classes begin (n + 1)."""
+    documents; at: where each one's units begin (n + 1)."""
     lengths = np.diff(at)
     lanes = lanes_of(lengths, s.lanes)
     if not lanes:
@@ -168,7 +240,7 @@ def windows(classes: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[tuple[
         n = 0
         for d in docs:
             m = int(lengths[d])
-            targets[n : n + m, i] = classes[at[d] : at[d + 1]]
+            targets[n : n + m, i] = units[at[d] : at[d + 1]]
             document[n : n + m, i] = d
             fresh[n, i] = 0
             n += m
@@ -180,128 +252,194 @@ def windows(classes: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[tuple[
         yield inputs[lo:hi], targets[lo:hi], used[lo:hi], fresh[lo:hi], document[lo:hi]
 
 
-def run_training(gru: Gru, classes: np.ndarray, at: np.ndarray, rate: float) -> None:
+def run_training(gru: Gru, units: np.ndarray, at: np.ndarray, rate: float) -> None:
     state = None
-    for inputs, targets, used, fresh, _ in windows(classes, at, gru.s):
+    for inputs, targets, used, fresh, _ in windows(units, at, gru.s):
         if state is None:
-            state = np.zeros((inputs.shape[1], gru.s.hidden), dtype=np.float32)
+            state = np.zeros((inputs.shape[1], gru.s.hidden), dtype=gru.dtype)
         state = gru.train(inputs, targets, used, fresh, state, rate)
 
 
-def class_scores(gru: Gru, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log-likelihood of each document's classes."""
+def unit_scores(gru: Gru, units: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log-likelihood of each document's units."""
     out, state = np.zeros(len(at) - 1), None
-    for inputs, targets, used, fresh, document in windows(classes, at, gru.s):
+    for inputs, targets, used, fresh, document in windows(units, at, gru.s):
         if state is None:
-            state = np.zeros((inputs.shape[1], gru.s.hidden), dtype=np.float32)
-        f = gru.forward(inputs, fresh, state)
-        state = f["state"]
-        logs = f["log"][np.arange(inputs.size), targets.ravel()].astype(np.float64) * used.ravel()
-        out += np.bincount(document.ravel(), weights=logs, minlength=len(out))
+            state = np.zeros((inputs.shape[1], gru.s.hidden), dtype=gru.dtype)
+        after, _ = gru.states(inputs, fresh, state)
+        state = after[-1]
+        some = np.flatnonzero(used.ravel())
+        logs, _, _ = gru.outputs(after.reshape(-1, gru.s.hidden)[some], targets.ravel()[some])
+        out += np.bincount(document.ravel()[some], weights=logs.astype(np.float64), minlength=len(out))
     return out
 
 
 @dataclass
-class Classes:
-    """0: the end; then single words by their hash; then endings; the last: all others."""
-
-    hashes: np.ndarray  # of the single words, ascending
-    single: np.ndarray  # their classes
-    ending: np.ndarray  # class of each last two bytes
+class Units:
+    hashes: np.ndarray  # of the words with a unit of their own, ascending
+    own: np.ndarray  # their units
+    ending: np.ndarray  # unit of each last two bytes
 
     def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         out = self.ending[endings].astype(np.int32)
         if len(self.hashes):
             k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[k] == hashes, self.single[k], out)
+            out = np.where(self.hashes[k] == hashes, self.own[k], out)
         return out
 
 
 def _words(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and last two bytes of a slice's words, and each row's first word (n + 1)."""
-    starts, ends, first = word_bounds(offs, data)
-    low = lower_ascii(data).astype(np.int32)
-    before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
-    last = low[ends - 1] if len(starts) else starts
-    return word_hashes(data, starts, ends).view(np.int64), (before * 256 + last).astype(np.int32), first
-
-
-def _with_ends(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes with a 0 after each document, and where each document begins."""
+    """Hashes and last two bytes of a slice's words, and each row's first word (n + 1).
+    A slice of one long text is read in pieces that end at white space."""
+    hashes, endings, lo, found = [], [], 0, np.zeros(len(offs), dtype=np.int64)
+    while True:
+        hi = len(data) if len(data) - lo <= 2 * SLICE_BYTES or len(offs) > 2 else _cut(data, lo)
+        part = data[lo:hi]
+        starts, ends, first = word_bounds(np.clip(offs - lo, 0, len(part)), part)
+        low = lower_ascii(part).astype(np.int32)
+        before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
+        last = low[ends - 1] if len(starts) else starts
+        hashes.append(word_hashes(part, starts, ends).view(np.int64))
+        endings.append((before * 256 + last).astype(np.int32))
+        found += first
+        lo = hi
+        if lo >= len(data):
+            return np.concatenate(hashes), np.concatenate(endings), found
+
+
+def _cut(data: np.ndarray, lo: int) -> int:
+    """The end of a piece of about SLICE_BYTES from `lo` that cuts no word."""
+    at, step = lo + SLICE_BYTES, 4096
+    while at < len(data):
+        gap = np.flatnonzero(data[at : at + step] <= 0x20)
+        gap = gap[(data[at + gap] == 0x20) | ((data[at + gap] >= 0x09) & (data[at + gap] <= 0x0D))]
+        if len(gap):
+            return at + int(gap[0]) + 1
+        at += step
+    return len(data)
+
+
+def _with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units with a 0 after each document, and where each document begins."""
     at = first + np.arange(len(first))
     out = np.zeros(at[-1], dtype=np.int32)
-    out[np.arange(len(classes)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = classes
+    out[np.arange(len(units)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = units
     return out, at
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, endings, first words) of groups of rows that make
+    about GROUP_BYTES; hashed by slices, so a group's bytes are never worked on at once."""
+    held, size, begin = [], 0, 0
+    for lo, hi, offs, data in text_slices(texts):
+        if held and size + len(data) > GROUP_BYTES:
+            yield begin, lo, *_joined(held)
+            held, size, begin = [], 0, lo
+        held.append(_words(offs, data))
+        size += len(data)
+    if held:
+        yield begin, len(texts), *_joined(held)
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.cumsum([0, *(p[2][-1] for p in parts)])
+    first = [p[2][:-1] + n for p, n in zip(parts, at)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([*first, at[-1:]])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+
+    def summed() -> tuple:
+        words, ending, n = (np.concatenate(x) for x in zip(*held))
+        found, at, which = np.unique(words, return_index=True, return_inverse=True)
+        return found, ending[at], np.bincount(which, weights=n, minlength=len(found)).astype(np.int64)
+
     for b in batches:
-        for _, _, offs, data in text_slices(string_column(b, "text"), 8 << 20):
+        for _, _, offs, data in text_slices(string_column(b, "text")):
             hashes, endings, _ = _words(offs, data)
             found, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(found), pa.array(endings[at]), pa.array(n)], names=["word", "ending", "n"])
-
-
-def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Settings = Settings()) -> DataFrame:
-    """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score.
-
-    Tokens are the words, A-Z lower-cased, then one end. The model and the counts learn
-    from the documents whose crc32(doc_id as text) mod `mod` is not `held_out`; null
-    doc_ids are among them. n_known: tokens that occur there; train_tokens: N, all
-    tokens there. base_score sums log10((c + 1) / (N + V + 1)) over the tokens, score is
-    the recurrent model's log10 probability of the whole text.
+            held.append((found, endings[at], n))
+            size += len(found)
+            if size >= HELD_WORDS:
+                held = [summed()]
+                size = len(held[0][0])
+                if size >= HELD_WORDS // 2:
+                    yield pa.record_batch([pa.array(x) for x in held[0]], names=["word", "ending", "n"])
+                    held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(x) for x in summed()], names=["word", "ending", "n"])
 
-    Null and empty texts have the end as their one token. Very long texts are scored
-    whole. Repeated rows stay, each with its result. Without training documents all
-    words are unseen. An empty table gives no rows. Only doc_id and text are read.
-    """
-    spark, s = docs.sparkSession, settings
-    scratch = Scratch(spark)
-    held = F.coalesce(split_of(F.col("doc_id"), mod) == held_out, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    training = rows.where(~F.col("held_out"))
 
+@dataclass
+class Model:
+    """flat: the network's weights. known: words looked up, and the log10 of their counts
+    and one. log_size: of each shared unit. words: all training words with their counts.
+    n_tokens, n_distinct, n_docs: of the training documents, ends counted."""
+
+    flat: np.ndarray
+    units: Units
+    class_of: np.ndarray
+    known: tuple[np.ndarray, np.ndarray]
+    log_size: np.ndarray
+    words: DataFrame
+    n_tokens: int
+    n_distinct: int
+    n_docs: int
+
+
+def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
+    """Counts and network from the doc_id and text of the training documents."""
+    spark = training.sparkSession
     counted = training.select("text").mapInArrow(_counted, "word long, ending int, n long")
     words = scratch.write(counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
     ends = training.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_distinct = total["n"] + ends, total["v"] + (1 if ends else 0)
-    singles = words.orderBy(F.desc("n"), "word").limit(s.singles).collect()
-    rest = words.join(F.broadcast(spark.createDataFrame([(r["word"],) for r in singles], "word long")), "word", "left_anti")
+    top = words.orderBy(F.desc("n"), "word").limit(s.words).collect()
+    rest = words.join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
     endings = rest.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # 65,536 at most
     endings.sort(key=lambda r: (-r["n"], r["ending"]))
-    table = np.full(1 << 16, s.classes - 1, dtype=np.int32)
-    size = np.ones(s.classes)  # count and distinct words of each class, and one
+    table = np.full(1 << 16, s.units - 1, dtype=np.int32)
+    size = np.ones(s.units)  # of shared units: count and distinct words, and one
+    weight = np.ones(s.units)
+    weight[0] += ends
+    weight[1 : 1 + len(top)] += [r["n"] for r in top]
     for i, r in enumerate(endings):
-        k = 1 + s.singles + i if i < s.endings else s.classes - 1
+        k = 1 + s.words + i if i < s.endings else s.units - 1
         table[r["ending"]] = k
         size[k] += r["n"] + r["v"]
-    order = np.argsort([r["word"] for r in singles]) if singles else np.zeros(0, np.int64)
-    classes = Classes(np.array([r["word"] for r in singles], dtype=np.int64)[order], (1 + order).astype(np.int32), table)
-
-    common = words.where(F.col("n") * FREQUENT >= n_tokens).select("word", "n").toPandas().sort_values("word")
-    known = common["word"].to_numpy(np.int64), np.log10(common["n"].to_numpy(np.float64) + 1)
-
-    first_share = min(1.0, s.first_docs / max(ends, 1))
-    few = training.where(F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 30)) <= int(first_share * (1 << 30))).select("text").limit(2 * s.first_docs).toPandas()["text"].tolist()
-    gru = Gru(s)
-    parts = [_words(offs, data) for _, _, offs, data in text_slices(pa.array(sorted(t or "" for t in few), pa.large_string()), 8 << 20)]
-    series = [_with_ends(classes.of(h, e), f) for h, e, f in parts]
-    frequency = sum((np.bincount(c, minlength=s.classes) for c, _ in series), np.zeros(s.classes)) + 1
-    gru.w["d"] = np.log(frequency / frequency.sum()).astype(np.float32)
+        weight[k] += r["n"]
+    order = np.argsort([r["word"] for r in top]) if top else np.zeros(0, np.int64)
+    units = Units(np.array([r["word"] for r in top], dtype=np.int64)[order], (1 + order).astype(np.int32), table)
+    class_of = classes_of(weight, s.classes)
+
+    # Words with a unit of their own are looked up as well, so rare ones never have one.
+    common = {r["word"]: r["n"] for r in top} | {r["word"]: r["n"] for r in words.where(F.col("n") * s.frequent >= n_tokens).select("word", "n").toLocalIterator()}
+    seen = np.array(sorted(common), dtype=np.int64)
+    known = seen, np.log10(np.array([common[w] for w in seen.tolist()], dtype=np.float64) + 1)
+
+    # In the order of a hash, so that the same rows are taken wherever they lie.
+    picked = F.xxhash64(F.lit(s.seed), "doc_id", "text")
+    few = training.select(picked.alias("picked"), F.coalesce("text", F.lit("")).alias("text"))
+    if ends > 4 * s.first_docs:
+        few = few.where(F.pmod("picked", F.lit(1 << 30)) <= int(2 * s.first_docs / ends * (1 << 30)))
+    few = [r["text"] for r in few.orderBy("picked", "text").limit(s.first_docs).collect()]
+    gru = Gru(s, class_of)
+    gru.start_from(weight)
+    series = [_with_ends(units.of(h, e), f) for _, _, h, e, f in _groups(pa.array(few, pa.large_string()))]
     for epoch in range(s.first_epochs):
         for c, at in series:
             run_training(gru, c, at, 0.02 * (1 - epoch / s.first_epochs) + 0.002)
-    start = spark.sparkContext.broadcast((gru.flat(), classes))
+    start = spark.sparkContext.broadcast((gru.flat(), units, class_of))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, cl = start.value
-        own, seen = Gru.of(s, flat), 0
+        flat, un, classes = start.value
+        own, seen = Gru.of(s, classes, flat), 0
         for b in batches:
-            for _, _, offs, data in text_slices(string_column(b, "text"), 8 << 20):
-                hashes, endings, first = _words(offs, data)
-                c, at = _with_ends(cl.of(hashes, endings), first)
+            for _, _, hashes, endings, first in _groups(string_column(b, "text")):
+                c, at = _with_ends(un.of(hashes, endings), first)
                 run_training(own, c, at, 0.002)
                 seen += len(c)
         if seen:
@@ -310,15 +448,36 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
 
     learned = training.select("text").mapInArrow(learn, "at long, sum double, n long").groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).orderBy("at").collect()
     weights = np.array([r["sum"] / r["n"] for r in learned]) if learned else gru.flat()
-    model = spark.sparkContext.broadcast((weights, classes, known, np.log10(size)))
+    return Model(weights, units, class_of, known, np.log10(size), words, n_tokens, n_distinct, ends)
+
+
+def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Settings = Settings()) -> DataFrame:
+    """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score.
+
+    Tokens are the words, A-Z lower-cased, then one end. The model and the counts learn
+    from the documents whose crc32(doc_id as text) mod `mod` is not `held_out`; null
+    doc_ids are among them. n_known: tokens that occur there; train_tokens: N, all
+    tokens there. base_score sums log10((c + 1) / (N + V + 1)) over the tokens, score is
+    the recurrent model's log10 probability of the whole text.
+
+    Null and empty texts have the end as their one token. Very long texts are scored
+    whole. Repeated rows stay, each with its result. Without training documents all
+    words are unseen. An empty table gives no rows. Only doc_id and text are read.
+    """
+    spark, s = docs.sparkSession, settings
+    scratch = Scratch(spark)
+    held = F.coalesce(split_of(F.col("doc_id"), mod) == held_out, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
+    fitted = fit(rows.where(~F.col("held_out")), s, scratch)
+    model = spark.sparkContext.broadcast((fitted.flat, fitted.units, fitted.class_of, fitted.known, fitted.log_size))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, cl, (seen, value), sizes = model.value
-        net, row = Gru.of(s, flat), TaskContext.get().partitionId() << 33
+        flat, un, classes, (seen, value), sizes = model.value
+        net, row = Gru.of(s, classes, flat), TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo, hi, offs, data in text_slices(string_column(b, "text"), 8 << 20):
-                hashes, endings, first = _words(offs, data)
-                k = cl.of(hashes, endings)
+            for lo, hi, hashes, endings, first in _groups(string_column(b, "text")):
+                k = un.of(hashes, endings)
                 c, at = _with_ends(k, first)
                 n = hi - lo
                 owner = np.repeat(np.arange(n), np.diff(first))
@@ -328,7 +487,7 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
                     log_n = np.where(hit, value[place], 0.0)
                 else:
                     hit, log_n = np.zeros(len(hashes), bool), np.zeros(len(hashes))
-                single = (k >= 1) & (k <= s.singles)
+                single = k <= s.words
                 rare = hashes[~hit]
                 rare_at = np.concatenate(([0], np.cumsum(np.bincount(owner[~hit], minlength=n)))).astype(np.int32)
                 # Of no words at all, bincount gives whole numbers.
@@ -337,19 +496,18 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
                 yield pa.record_batch([
                     pa.array(row + np.arange(n)), b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(at).astype(np.int64)),
                     pa.array(np.bincount(owner[hit], minlength=n).astype(np.int64)), pa.array(per_row(log_n)),
-                    pa.array(within + class_scores(net, c, at) / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare)),
+                    pa.array(within + unit_scores(net, c, at) / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare)),
                 ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
                 row += n
 
     scored = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"))
-    # Single words are frequent, so rare ones never have a class of their own.
     tail = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    tail = tail.join(words.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_n"))
+    tail = tail.join(fitted.words.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_n"))
     out = scored.drop("rare").join(tail, "row", "left")
     more = F.coalesce("log_n", F.lit(0.0))
-    end_log = float(np.log10(ends + 1))
-    base = F.col("base") + more + F.lit(end_log) - F.col("n_tokens") * F.lit(float(np.log10(n_tokens + n_distinct + 1)))
+    end_log = float(np.log10(fitted.n_docs + 1))
+    base = F.col("base") + more + F.lit(end_log) - F.col("n_tokens") * F.lit(float(np.log10(fitted.n_tokens + fitted.n_distinct + 1)))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + more).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + (1 if fitted.n_docs else 0)).alias("n_known"),
+        F.lit(fitted.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + more).alias("score"),
     )
