@@ -94,20 +94,6 @@ def test_classifiers_on_held_out_documents(spark, sf, f, label, mod, out, least)
     assert right >= least
 
 
-def test_nearest_recall(spark, sf):
-    e = table(spark, sf, "embeddings").toPandas()
-    x, ids = np.array(e["embedding"].tolist(), dtype=np.float64), e["vec_id"].to_numpy()
-    found = nearest(table(spark, sf, "embeddings")).toPandas()
-    hit = 0
-    for q in ids[ids % 20 == 0]:
-        score = x @ x[ids == q][0]
-        best = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
-        mine = found[found["query_id"] == q].sort_values("rank")
-        assert np.allclose(mine["score"], [score[ids == i][0] for i in mine["vec_id"]])
-        hit += len(set(best) & set(mine["vec_id"]))
-    assert hit >= 0.9 * 20 * (ids % 20 == 0).sum()
-
-
 def test_nearest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0])]
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
