@@ -14,7 +14,7 @@ from loamgraph.llm import queries
 from loamgraph.llm.ann import nearest
 from loamgraph.llm.fingerprints import edited_fingerprints
 from loamgraph.llm.lm_scoring import lm_scores
-from loamgraph.llm.mixing import mix_sources
+from loamgraph.llm.mixing import few_copies, mix_sources, nearest_sum
 from loamgraph.llm.near_dedup import near_duplicates
 from loamgraph.llm.packing import pack
 from loamgraph.llm.quality import quality
@@ -115,9 +115,38 @@ def test_edited_fingerprints(spark, odd):
     assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
 
 
-def test_mixing(spark, sf):
-    # A source of few documents can't come nearer than its documents' sizes allow.
-    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+def test_nearest_sum_against_every_choice():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        w, most = rng.integers(0, 40, 5).tolist(), rng.integers(0, 4, 5).tolist()
+        wanted = int(rng.integers(0, 250))
+        sums = {sum(a * b for a, b in zip(w, n)) for n in product(*(range(m + 1) for m in most))}
+        got = nearest_sum(w, most, wanted)
+        assert all(0 <= n <= m for n, m in zip(got, most))
+        assert abs(sum(a * b for a, b in zip(w, got)) - wanted) == min(abs(s - wanted) for s in sums)
+    assert sum(few_copies([10**7 + 1, 10**7, 3, 5], 10**7 + 6, 3)) >= 1
+
+
+def test_mixing_sources_that_share_documents(spark):
+    rows = [(i, "w " * (1 + i % 7), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else [None]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mix_sources(docs).collect()
+    assert len(got) == 900 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    total, taken = sum(r["size"] for r in got), sum(r["taken"] for r in got)
+    assert abs(taken - total) <= 0.02 * total
+    assert {c for c in mix_sources(docs.withColumn("taken", F.lit("x"))).columns} == {*docs.columns, "size", "source_size", "target", "copies", "taken"}
+
+
+def test_mixing_more_sources_than_a_flow_could_take(spark):
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    assert mix_sources(docs).agg(F.count("*"), F.max("copies")).first() == (25_000, 2)
+
+
+@pytest.mark.parametrize("at", ["sf0.001", "sf0.01"])
+def test_mixing(spark, sf, at):
+    docs = table(spark, sf.replace("sf0.001", at), "documents")
     rows = mix_sources(docs).collect()
     by: dict = {}
     for r in rows:
