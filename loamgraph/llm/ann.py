@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..runtime import Scratch
+from .batches import runs
 
 
 @dataclass(frozen=True)
@@ -224,7 +225,7 @@ def _search(spark, scratch: Scratch, nodes: DataFrame, dim: int, most: float, k:
         """Rows by block: first its candidates by place, then the queries that see some."""
         at, held, seen = None, [], None
         for b in batches:
-            for lo, hi, key in _runs(b, 3):
+            for lo, hi, key in runs(b, 3):
                 part = b.slice(lo, hi - lo)
                 if key[:2] != at:
                     at, held, seen = key[:2], [], None
@@ -291,15 +292,6 @@ def _scored(part: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, first: np.ndar
     return pa.record_batch([part.column(6), *lists], names=["query_node", "nodes", "firsts", "scores"])
 
 
-def _runs(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[int, int, tuple]]:
-    """(first row, end row, key) of the runs of equal leading columns."""
-    if batch.num_rows:
-        key = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])
-        cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)])).tolist()
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            yield lo, hi, tuple(key[lo].tolist())
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k greatest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -315,7 +307,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Tabl
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
-        for lo, hi, here in _runs(b, columns):
+        for lo, hi, here in runs(b, columns):
             if here != last and held:
                 yield pa.Table.from_batches(held)
                 held = []

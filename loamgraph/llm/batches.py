@@ -105,3 +105,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
+
+
+def runs(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[int, int, tuple]]:
+    """(first row, end row, key) of the runs of equal leading columns."""
+    if batch.num_rows:
+        key = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])
+        cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)])).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield lo, hi, tuple(key[lo].tolist())

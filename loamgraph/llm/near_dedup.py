@@ -1,6 +1,6 @@
 """Near-duplicate classes by a multi-index Hamming join of b-bit minimum-hash signatures.
 
-Each distinct shingle set gets `chunks` x `slots` minimum hashes of 16 bits. Two sets
+Each distinct shingle set gets `chunks` x `slots` minimum hashes of 10 bits. Two sets
 are at the distance of the number of slots that differ. By pigeonhole, two signatures
 at a distance below chunks * (errors + 1) have a chunk with at most `errors` differing
 slots; so each chunk is indexed once for every choice of `errors` slots left out, and
@@ -22,7 +22,7 @@ That join lets no pair through that an exact bound rules out. Each set has a bit
 the parities of its hashes in PARITY_BITS cells. A cell that differs needs a hash that
 one of the two sets has alone, so the differing cells are at most the symmetric
 difference, and a pair with more of them than the similarity allows can't be linked.
-Sets of some 5,000 shingles and more fill the cells, so that the bound is met by all of
+Sets of some 2,500 shingles and more fill the cells, so that the bound is met by all of
 their pairs; these are all confirmed.
 """
 
@@ -40,14 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..runtime import Scratch
-from .batches import mix, string_column, text_slices, word_bounds, word_hashes
+from ..runtime import Scratch, in_few_tasks
+from .batches import mix, runs, string_column, text_slices, word_bounds, word_hashes
 
 #: Columns that hold a row's key while rows are chosen.
 KEYS = ("__near_row_key", "__near_row_key_2")
 
 #: Cells of a set's bitmap of parities.
-PARITY_BITS = 2048
+PARITY_BITS = 1024
 
 #: A set with more rows than this and one in HOT_SHARE of all is joined by a broadcast;
 #: there are fewer than HOT_SHARE such sets.
@@ -59,15 +59,22 @@ BLOCK_ROWS = 2048
 #: Members that each set is confirmed against at first; the rest is for the second join.
 FIRST_LINKS = 3
 
-#: Ids of candidate documents that may be broadcast; more are joined by a shuffle.
+#: Rows of ids and labels that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 @dataclass(frozen=True)
 class Index:
+    """slots * bits <= 63: a chunk is one 64-bit word."""
+
     chunks: int = 5
     slots: int = 6
     errors: int = 2
+    bits: int = 10
 
     @property
     def hashes(self) -> int:
@@ -130,12 +137,10 @@ def parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(signature: np.ndarray) -> np.ndarray:
-    """Four 16-bit slots in each 64-bit word; the last word is filled with zeros."""
-    n, k = signature.shape
-    wide = np.zeros((n, -(-k // 4) * 4), dtype=np.uint16)
-    wide[:, :k] = signature
-    return wide.view(np.int64)
+def _packed(signature: np.ndarray, index: Index) -> np.ndarray:
+    """One word for each chunk, its slots from the low bits on."""
+    slots = signature.reshape(len(signature), index.chunks, index.slots).astype(np.uint64) & np.uint64((1 << index.bits) - 1)
+    return (slots << (np.arange(index.slots, dtype=np.uint64) * np.uint64(index.bits))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -157,9 +162,9 @@ def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
                 sets, at = shingle_sets(offs, data, width)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                words = np.zeros((hi - lo, -(-index.hashes // 4)), dtype=np.int64)
+                words = np.zeros((hi - lo, index.chunks), dtype=np.int64)
                 if len(some):
-                    words[some] = _packed(signatures(sets, np.append(at[some], len(sets)), index.hashes))
+                    words[some] = _packed(signatures(sets, np.append(at[some], len(sets)), index.hashes), index)
                 bits = parities(sets, at)
                 yield pa.record_batch([
                     b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(n), pa.array(_set_ids(sets, at), mask=n == 0),
@@ -173,93 +178,83 @@ def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
 def _keys(nodes: DataFrame, index: Index) -> DataFrame:
     """(key, set_id): for every chunk and every choice of slots left out. A key's low ten
     bits are the number of the choice."""
-    variants = _variants(index)
+    masks = [(c, sum(((1 << index.bits) - 1) << index.bits * j for j in range(index.slots) if j not in out)) for c in range(index.chunks) for out in _left_out(index)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                n = part.num_rows
-                slot = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).view(np.uint16).astype(np.uint64)
-                keys = []
-                for v, picked in enumerate(variants):
-                    packed = np.full(n, v + 1, dtype=np.uint64)
-                    for j in picked:
-                        packed = mix(packed * np.uint64(0x9E3779B97F4A7C15) + slot[:, j])
-                    keys.append(((packed << np.uint64(10)) | np.uint64(v)).view(np.int64))
+                words = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).view(np.uint64)
+                keys = [(mix((words[:, c] & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(v + 1)) << np.uint64(10)) | np.uint64(v) for v, (c, m) in enumerate(masks)]
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], names=["key", "set_id"])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "set_id"])
 
     return nodes.select("set_id", "signature").mapInArrow(run, "key long, set_id long")
 
 
-def _differing(a: Column, b: Column, index: Index) -> list[Column]:
-    """For each word of two packed signatures, the lowest bit of each 16-bit slot that
-    differs. The sums can't overflow, and each word is named three times only, so that
-    the generated code stays small."""
-    ones, low14 = F.lit(0x0001000100010001), F.lit(0x3FFF3FFF3FFF3FFF)
-    out = []
-    for i in range(-(-index.hashes // 4)):
-        x = a[i].bitwiseXOR(b[i])
-        inner = F.shiftrightunsigned(x, 1).bitwiseAND(low14).bitwiseOR(x.bitwiseAND(ones))
-        out.append(F.shiftrightunsigned(inner + low14, 14).bitwiseOR(F.shiftrightunsigned(x, 15)).bitwiseAND(ones))
-    return out
+def _left_out(index: Index) -> list[tuple[int, ...]]:
+    """The slots of a chunk that each of its keys leaves out, in the order of the keys."""
+    return list(combinations(range(index.slots), index.errors))
 
 
-def _distance(a: Column, b: Column, index: Index) -> Column:
-    """Differing slots of two packed signatures."""
-    return reduce(add, map(F.bit_count, _differing(a, b, index)))
+def _differing(a: Column, b: Column, index: Index) -> Column:
+    """The highest bit of each slot that differs between two words."""
+    low = sum(((1 << index.bits - 1) - 1) << index.bits * j for j in range(index.slots))
+    high = sum(1 << index.bits * j + index.bits - 1 for j in range(index.slots))
+    x = a.bitwiseXOR(b)
+    return (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))
 
 
-def _equal_slots(a: Column, b: Column, index: Index) -> Column:
-    """Bits of the 16-bit slots, from the lowest, that two packed signatures share."""
-    words = []
-    for i, x in enumerate(_differing(a, b, index)):
-        near = x
-        for s in (15, 30, 45):
-            near = near.bitwiseOR(F.shiftrightunsigned(x, s))
-        words.append(F.shiftleft(near.bitwiseAND(F.lit(15)), 4 * i))
-    return reduce(Column.bitwiseOR, words).bitwiseXOR(F.lit((1 << index.hashes) - 1))
+def _distance(a: Column, b: Column, index: Index) -> Column:
+    """Differing slots of two signatures."""
+    return reduce(add, (F.bit_count(_differing(a[i], b[i], index)) for i in range(index.chunks)))
 
 
-def _variants(index: Index) -> list[tuple[int, ...]]:
-    """The slots that each key of a set is made from, in the order of the keys."""
-    kept = [tuple(j for j in range(index.slots) if j not in out) for out in combinations(range(index.slots), index.errors)]
-    return [tuple(c * index.slots + j for j in v) for c in range(index.chunks) for v in kept]
+def _differing_slots(x: np.ndarray, index: Index) -> np.ndarray:
+    low = np.int64(sum(((1 << index.bits - 1) - 1) << index.bits * j for j in range(index.slots)))
+    high = np.int64(sum(1 << index.bits * j + index.bits - 1 for j in range(index.slots)))
+    return (((x & low) + low) | x) & high
 
 
-def _is_first_key(variant: Column, equal: Column, index: Index) -> Column:
-    """No variant before this one is a key that two sets with these equal slots share.
-    The slots are bound to a lambda's variable, so that they are worked out once."""
-    masks = F.array(*(F.lit(sum(1 << j for j in slots)) for slots in _variants(index)))
-    earlier = F.slice(masks, F.lit(1), variant.cast("int"))
-    return F.exists(F.array(equal), lambda e: ~F.exists(earlier, lambda m: e.bitwiseAND(m) == m))
+def _first_patterns(index: Index) -> list[list[int]]:
+    """For each key of a chunk, the words of differing slots for which it is the first of
+    the chunk's keys that two sets share."""
+    out: list[list[int]] = []
+    taken: set[tuple[int, ...]] = set()
+    for left_out in _left_out(index):
+        own = [m for k in range(index.errors + 1) for m in combinations(left_out, k) if m not in taken]
+        taken |= set(own)
+        out.append([sum(1 << index.bits * j + index.bits - 1 for j in m) for m in own])
+    return out
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of undirected edges (a, b); the label is the least
-    node of the component. Alternates large and small stars until no edge changes."""
-    e = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+def components(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, label) for the nodes of undirected edges (a, b), and their number; the label
+    is the least node of the component. Alternates large and small stars until no edge
+    changes."""
+    e, n = scratch.counted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
+        few = lambda df: in_few_tasks(df, 2 * n)  # noqa: E731, B023
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = scratch.write(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
+        large = scratch.write(few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("x"))
-        new = scratch.write(small.select("x.a", F.col("x.low").alias("b")).where("a <> b").distinct())
+        new, n = scratch.counted(few(small.select("x.a", F.col("x.low").alias("b")).where("a <> b").distinct()))
         scratch.drop(large)
         scratch.drop(e)
         e = new
         # Done when the edges are stars: each leaf has one centre, and no centre is a leaf.
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-        ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        ends, nodes = scratch.counted(few(ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))))
         if ends.where("leaf > 1 or leaf + centre > 1").isEmpty():
             centre = ends.where("centre = 1").select("node", F.col("node").alias("label"))
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centre)
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centre), nodes
+        scratch.drop(ends)
 
 
 class _Confirm:
@@ -289,10 +284,10 @@ class _Confirm:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
-        pairs = self.scratch.write(pairs)
+        pairs, n = self.scratch.counted(pairs)
         used = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        ids = self.scratch.write(self.nodes.select("set_id", F.col("least_doc").alias("doc_id")).join(used, "set_id", "left_semi"))
-        sets = self.scratch.write(self._sets(ids, ids.count()))
+        ids, m = self.scratch.counted(self.nodes.select("set_id", F.col("least_doc").alias("doc_id")).join(_small(in_few_tasks(used, 2 * n), 2 * n), "set_id", "left_semi"))
+        sets = self.scratch.write(self._sets(ids, m))
         full = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         full = full.withColumn("common", common).where(100 * F.col("common") >= self.percent * (F.size("x") + F.size("y") - F.col("common")))
@@ -306,39 +301,43 @@ def _classes(docs: DataFrame, width: int, percent: int, index: Index) -> tuple[D
     """The described rows, and for each set: its class (label), rows, least_doc and
     first_row."""
     scratch = Scratch(docs.sparkSession)
-    described = scratch.write(_described(docs, width, index))
+    described, n_docs = scratch.counted(_described(docs, width, index))
     # Nulls order last, as they do in no struct of Spark's.
     first_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    nodes = scratch.write(
-        described.where("set_id is not null").groupBy("set_id").agg(
-            F.min("doc_id").alias("least_doc"), F.min(first_row).alias("first_row"), F.count("*").alias("copies"),
-            F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("bits").alias("bits"),
-        )
+    nodes = described.where("set_id is not null").groupBy("set_id").agg(
+        F.min("doc_id").alias("least_doc"), F.min(first_row).alias("first_row"), F.count("*").alias("copies"),
+        F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("bits").alias("bits"),
     )
+    nodes, n_nodes = scratch.counted(in_few_tasks(nodes, n_docs, 4096))
     keys = _keys(nodes, index)
-    groups = scratch.write(keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1"))
-    met = scratch.write(keys.join(groups.drop("rows"), "key").where("set_id <> low"))
+    n_keys = n_nodes * index.chunks * len(_left_out(index))
+    groups = keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    groups = scratch.write(in_few_tasks(groups, n_keys))
+    met, n_met = scratch.counted(in_few_tasks(keys.join(groups.drop("rows"), "key").where("set_id <> low"), n_keys))
+    few = lambda df: in_few_tasks(df, n_met)
 
     side = lambda s: nodes.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
     stars = met.select(F.col("set_id").alias("a"), F.col("low").alias("b")).distinct()
-    stars = stars.join(side("b"), "b").join(side("a"), "a").withColumn("distance", _distance(F.col("sig_a"), F.col("sig_b"), index))
+    stars = few(few(few(stars).join(side("b"), "b")).join(side("a"), "a")).withColumn("distance", _distance(F.col("sig_a"), F.col("sig_b"), index))
     stars = stars.where(_alike(F.col("n_a"), F.col("n_b"), percent))
     place = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
     stars = stars.select("a", "b", "distance").withColumn("place", place).where(F.col("place") <= FIRST_LINKS).select("a", "b")
     confirm = _Confirm(docs, nodes, scratch, width, percent)
-    links = confirm.links(stars)
-    label = scratch.write(components(scratch, links))
+    label, n_label = components(scratch, confirm.links(stars))
+    label = scratch.write(in_few_tasks(label, n_label))
 
-    pairs = _left_over(scratch, nodes, met.select("key", "set_id").unionByName(groups.select("key", F.col("low").alias("set_id"))), label, percent, index)
+    pairs = _left_over(scratch, nodes, met.select("key", "set_id").unionByName(groups.select("key", F.col("low").alias("set_id"))), n_met, _small(label, n_label), percent, index)
     if pairs is not None:
         mapped = confirm.links(pairs)
         for s in ("a", "b"):
-            mapped = mapped.join(label.withColumnRenamed("node", s), s, "left").withColumn(s, F.coalesce("label", s)).drop("label")
-        joined = scratch.write(components(scratch, mapped.select("a", "b")))
-        old = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        label = scratch.write(old.unionByName(joined.join(label, "node", "left_anti")))
-
-    sets = nodes.select("set_id", "copies", "least_doc", "first_row").join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
+            mapped = mapped.join(_small(label.withColumnRenamed("node", s), n_label), s, "left").withColumn(s, F.coalesce("label", s)).drop("label")
+        joined, n_joined = components(scratch, mapped.select("a", "b"))
+        joined = scratch.write(in_few_tasks(joined, n_joined))
+        old = label.join(_small(joined.select(F.col("node").alias("label"), F.col("label").alias("top")), n_joined), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        label = scratch.write(in_few_tasks(old.unionByName(joined.join(_small(label.select("node"), n_label), "node", "left_anti")), n_label + n_joined))
+        n_label += n_joined
+
+    sets = nodes.select("set_id", "copies", "least_doc", "first_row").join(_small(label.withColumnRenamed("node", "set_id"), n_label), "set_id", "left")
     return described, scratch.write(sets.withColumn("label", F.coalesce("label", "set_id")))
 
 
@@ -384,30 +383,71 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, index: Index
     return rows.join(kept, list(KEYS), "left_semi").dropDuplicates(list(KEYS)).select(docs.columns)
 
 
-def _left_over(scratch: Scratch, nodes: DataFrame, members: DataFrame, label: DataFrame, percent: int, index: Index) -> DataFrame | None:
+def _left_over(scratch: Scratch, nodes: DataFrame, members: DataFrame, n_members: int, label: DataFrame, percent: int, index: Index) -> DataFrame | None:
     """Candidate pairs of members of one key's group that are in different classes so
-    far. members: key and set_id of all groups of two and more."""
+    far. members: key and set_id of all groups of two and more; about n_members rows."""
     member = members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
     mixed = member.groupBy("key", "label").agg(F.count("*").alias("rows"))
     mixed = mixed.groupBy("key").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "label")).alias("main")).where("labels > 1")
-    mixed = scratch.write(mixed.select("key", F.col("main.label").alias("main"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
-    if mixed.isEmpty():
+    mixed, n_mixed = scratch.counted(in_few_tasks(mixed.select("key", F.col("main.label").alias("main"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("right_blocks"), F.ceil((F.col("rows") - F.col("main.rows")) / BLOCK_ROWS).cast("int").alias("left_blocks")), n_members))
+    if not n_mixed:
         return None
-    bits = [F.col("bits")[i].alias(f"bits_{i}") for i in range(PARITY_BITS // 64)]
-    member = scratch.write(member.join(mixed, "key").join(nodes.select("set_id", "n", "signature", *bits), "set_id"))
-    left = member.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    member = member.join(_small(mixed, n_mixed), "key").join(nodes.select("set_id", "n", "signature", "bits"), "set_id")
+    outside = F.col("label") != F.col("main")
+    # Both sides are dealt out in blocks, so that a task holds a block of each at a time.
+    block = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda rows, left, i, j: rows.select("key", i.alias("left_block"), "right_blocks", "left_blocks", "set_id", "label", "n", "signature", "bits").select(
+        "key", "left_block", j.alias("right_block"), F.lit(left).alias("is_left"), "set_id", "label", "n", "signature", "bits"
+    )
+    member = scratch.write(member)
+    sides = one(member.where(outside), True, block("left_blocks"), every("right_blocks")).unionByName(one(member, False, every("left_blocks"), block("right_blocks")))
     # By number, since the work goes with the pairs and not with the bytes of a partition.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    carried = ("set_id", "label", "n", "signature", *(f"bits_{i}" for i in range(PARITY_BITS // 64)))
-    named = lambda t, s: t.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in carried)).repartition(parts, "key", "block")
-    l, r = named(left, "l"), named(right, "r")
-    sides = F.col("signature_l"), F.col("signature_r")
-    # A symmetric difference d allows the similarity s where d <= (n + m) * (1 - s) / (1 + s).
-    apart = reduce(add, (F.bit_count(F.col(f"bits_{i}_l").bitwiseXOR(F.col(f"bits_{i}_r"))) for i in range(PARITY_BITS // 64)))
-    near = apart * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent)
-    rest = (F.col("label_l") != F.col("label_r")) & _alike(F.col("n_l"), F.col("n_r"), percent) & near
-    # A pair that meets under several keys comes from the first of them only.
-    first = _is_first_key(l["key"].bitwiseAND(F.lit(1023)), _equal_slots(*sides, index), index)
-    found = l.join(r, (l["key"] == r["key"]) & (l["block"] == r["block"]) & rest & first)
-    return found.select(F.greatest("set_id_l", "set_id_r").alias("a"), F.least("set_id_l", "set_id_r").alias("b")).distinct()
+    sides = sides.repartition(parts, "key", "left_block", "right_block").sortWithinPartitions("key", "left_block", "right_block", "is_left")
+    return sides.mapInArrow(_pairs_of_blocks(index, percent), "a long, b long").distinct()
+
+
+def _pairs_of_blocks(index: Index, percent: int):
+    """Candidate pairs of a left and a right block of one key, sorted so that the right
+    block comes first."""
+    n_keys, patterns = len(_left_out(index)), [np.array(p, dtype=np.int64) for p in _first_patterns(index)]
+
+    def columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        t = pa.Table.from_batches(parts)
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return *(t.column(c).to_numpy() for c in ("set_id", "label", "n")), flat("signature"), flat("bits")
+
+    def pairs(key: int, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+        ids_l, label_l, n_l, words_l, bits_l = left
+        ids_r, label_r, n_r, words_r, bits_r = right
+        apart = np.zeros((len(ids_l), len(ids_r)), dtype=np.int32)
+        for w in range(bits_l.shape[1]):
+            apart += np.bitwise_count(bits_l[:, w, None] ^ bits_r[None, :, w])
+        # A symmetric difference d allows the similarity s where d <= (n + m) * (1 - s) / (1 + s).
+        near = apart * (100 + percent) <= (n_l[:, None] + n_r) * (100 - percent)
+        near &= (label_l[:, None] != label_r) & (100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r))
+        i, j = np.nonzero(near)
+        # A pair that meets under several keys comes from the first of them only.
+        chunk, own = divmod(key & 1023, n_keys)
+        differ = _differing_slots(words_l[i, : chunk + 1] ^ words_r[j, : chunk + 1], index)
+        first = np.isin(differ[:, chunk], patterns[own]) & (np.bitwise_count(differ[:, :chunk]) > index.errors).all(axis=1)
+        return ids_l[i[first]], ids_r[j[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, right = None, [], None
+        for b in batches:
+            for lo, hi, key in runs(b, 4):
+                if key[:3] != at:
+                    at, held, right = key[:3], [], None
+                if not key[3]:
+                    held.append(b.slice(lo, hi - lo))
+                    continue
+                if right is None:
+                    right = columns(held)
+                for k in range(lo, hi, 256):
+                    l, r = pairs(key[0], columns([b.slice(k, min(256, hi - k))]), right)
+                    if len(l):
+                        yield pa.record_batch([pa.array(np.maximum(l, r)), pa.array(np.minimum(l, r))], names=["a", "b"])
+
+    return run
