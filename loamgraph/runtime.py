@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -35,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set
-    here where that is unset (local tests)."""
+    here where that is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = os.path.join(tempfile.gettempdir(), "loamgraph-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
@@ -46,6 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of a narrow table that a task is started for.
+TASK_ROWS = 50_000
+
+
+def in_few_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """`df`, which comes from about so many rows, in no more tasks than they need."""
+    tasks = rows // each + 1
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +86,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """A written table and its number of rows, in one pass."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        return out, seen.get["rows"]
+
     def drop(self, df: DataFrame) -> None:
         delete(self.spark, df._scratch_path)
 
