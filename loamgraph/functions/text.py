@@ -6,6 +6,8 @@ are in code points.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,14 +102,17 @@ def embedding_text(text: Column, chars: int = 800, most_words: int = 400) -> Col
 
 
 def json_text(json: Column, key: str) -> Column:
-    """A top-level value as text; null for a missing key or a JSON null."""
-    return F.get_json_object(json, f"$.{key}")
+    """A top-level value as text; null for a missing key or a JSON null. The key is taken
+    as it is: dots and brackets in it have no meaning."""
+    if re.fullmatch(r"\w+", key, re.ASCII):
+        return F.get_json_object(json, f"$.{key}")
+    return F.from_json(json, "map<string,string>").getItem(key)
 
 
 def metadata_canonical_id(json: Column) -> Column:
     """canonical_id, or else source_metadata.canonical_id; empty ones are skipped."""
     none = F.lit("")
-    return F.coalesce(F.nullif(json_text(json, "canonical_id"), none), F.nullif(json_text(json, "source_metadata.canonical_id"), none))
+    return F.coalesce(F.nullif(json_text(json, "canonical_id"), none), F.nullif(F.get_json_object(json, "$.source_metadata.canonical_id"), none))
 
 
 def comma_list(text: Column) -> Column:
@@ -138,5 +143,19 @@ def summary_part(document: Column, summary: Column) -> Column:
     return F.concat(F.lit("[SUMMARY:"), document, F.lit("] "), summary)
 
 
+def section_chunk_id(ingestion: Column, artifact: Column) -> Column:
+    """The id of the one chunk of a section."""
+    return uuid5(URL_NAMESPACE, F.concat_ws("\n", ingestion, artifact))
+
+
+#: File types that the converter takes.
+CONVERTED = (".docx", ".pptx", ".html", ".htm", ".epub")
+
+
+def is_converted(name: Column) -> Column:
+    """Whether a file's extension is one that the converter takes."""
+    return F.coalesce(extension(name).isin(*CONVERTED), F.lit(False))
+
+
 def shortened(text: Column, most: int = 4000) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)

@@ -6,6 +6,7 @@ it beside the old one and swaps. There is no atomicity across tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,33 @@ def without_nodes(edges: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple
     return edges, chunks.join(ids, "document_id", "left_anti")
 
 
+def deleted_repo(nodes: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes without a repository's, and the number of those (0 if it is unknown)."""
+    mine = F.coalesce(F.col("repo_id") == repo, F.lit(False))
+    return nodes.where(~mine), nodes.where(mine).agg(F.count("*").alias("deleted"))
+
+
+def resolved_repo(nodes: DataFrame, requests: DataFrame, asked: str | None = None) -> str:
+    """The repository that a question is about: the one asked for if it is complete, or
+    the newest. Errors: an unknown one, or none at all."""
+    found = repo_list(nodes, requests)
+    found = found.limit(1) if asked is None else found.where(F.col("repo_id") == asked).limit(1)
+    row = found.first()
+    if row is None:
+        raise LookupError(f"unknown repository: {asked}" if asked is not None else "no repository has been ingested")
+    return row["repo_id"]
+
+
+def request_status(requests: DataFrame, ingestion_id: str) -> DataFrame:
+    """The row of an ingestion: an error if the id is no UUID or unknown."""
+    if not re.fullmatch(r"(?i)[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", ingestion_id):
+        raise ValueError(f"no UUID: {ingestion_id}")
+    found = requests.where(F.col("ingestion_id") == ingestion_id)
+    if found.isEmpty():
+        raise LookupError(f"unknown ingestion: {ingestion_id}")
+    return found
+
+
 def rebuilt(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, repo: str, fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A repository's nodes replaced; what hung on the old ones goes with them."""
     mine = F.coalesce(F.col("repo_id") == repo, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import or_default, strip
+from ..functions.text import non_blank, or_default, section_chunk_id, strip
 
 
 def fixed_chars(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -108,3 +108,29 @@ def artifact_chunks(artifacts: DataFrame, linked: DataFrame) -> DataFrame:
     table = chunk_table(body.withColumn("chunk_strategy", chosen_strategy(F.col("text"))), key="artifact_id")
     table = table.withColumn("chunk_id", F.concat("artifact_id", F.lit(":chunk:"), "chunk_index"))
     return table.join(images, "artifact_id", "left").withColumn("associated_image_ids", F.coalesce("associated_image_ids", F.array().cast("array<string>")))
+
+
+def section_chunks(sections: DataFrame) -> DataFrame:
+    """One chunk for each section (ingestion_id, id, text): no section is cut, and each is
+    stored on its own, so its chunk_index is 0 and its strategy unknown."""
+    rows = sections.where(non_blank(F.col("text")))
+    return rows.select(
+        "ingestion_id", "id", section_chunk_id(F.col("ingestion_id").cast("string"), F.col("id")).alias("chunk_id"),
+        F.lit(0).alias("chunk_index"), F.lit("unknown").alias("chunk_strategy"), F.col("text").alias("chunk_text"),
+    )
+
+
+def ingested(texts: DataFrame, *, source_type: str, provider: str, doc_type: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(nodes, chunks) of texts (ingestion_id, text, filename). Each text has a node,
+    made before it is looked at; blank ones fail and have no chunks."""
+    name = F.concat(F.lit(f"{source_type}_document_"), F.col("ingestion_id").cast("string"))
+    ok = non_blank(F.col("text"))
+    nodes = texts.select(
+        "ingestion_id", name.alias("canonical_id"), F.concat(F.lit(f"{source_type.title()} "), F.substring(F.col("ingestion_id").cast("string"), 1, 8)).alias("title"),
+        F.concat(F.lit("file_document_"), F.col("ingestion_id").cast("string")).alias("source"), F.col("filename").alias("relative_path"), F.lit(doc_type).alias("doc_type"),
+        F.lit("Summary pending").alias("summary"), F.when(ok, "completed").otherwise("failed").alias("status"),
+    )
+    live = texts.where(ok).select("ingestion_id", name.alias("canonical_id"), F.col("filename").alias("relative_path"), "text", chosen_strategy(F.col("text")).alias("chunk_strategy"), chosen_params(F.col("text")).alias("params"))
+    chunks = chunk_table(live, key="ingestion_id")
+    stamp = stamped(chunks, source_type=source_type, provider=provider, doc_type=doc_type, strategy=F.col("chunk_strategy"), params=F.col("params"))
+    return nodes, stamp.drop("params")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,18 @@ DEFINED = ("CLASS", "FUNCTION", "METHOD", "MARKDOWN_SECTION")
 SYMBOLS = ("CLASS", "FUNCTION", "METHOD")
 
 
-def keep_last(rows: DataFrame, key: Iterable[str], seq: str) -> DataFrame:
+def keep_last(rows: DataFrame, key: Iterable[str], seq: str | Column) -> DataFrame:
     """One row per key: the one with the greatest `seq`."""
     key = list(key)
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), seq).alias("last")).select(*key, "last.*")
 
 
+def _order(entities: DataFrame) -> Column:
+    """The order of entities: by file, then by their place in it."""
+    return F.struct("relative_path", "seq") if "relative_path" in entities.columns else F.struct("seq")
+
+
 def first_by(rows: DataFrame, key: str, seq: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("first")).select(key, "first.*")
@@ -28,41 +34,44 @@ def first_by(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 def symbol_table(entities: DataFrame) -> DataFrame:
     """name, canonical_id, artifact_type of classes, functions and methods; the last wins."""
-    rows = entities.where(F.col("artifact_type").isin(*SYMBOLS)).select("name", "canonical_id", "artifact_type", "seq")
+    rows = entities.where(F.col("artifact_type").isin(*SYMBOLS)).select("name", "canonical_id", "artifact_type", _order(entities).alias("seq"))
     return keep_last(rows, ["name"], "seq").drop("seq")
 
 
 def defines_edges(entities: DataFrame) -> DataFrame:
     """from_canonical_id, to_canonical_id: the first entity whose id is the parent's."""
-    parents = first_by(entities.select("id", "seq", F.col("canonical_id").alias("from_canonical_id")), "id", "seq").withColumnRenamed("id", "parent_id")
+    parents = first_by(entities.select("id", _order(entities).alias("seq"), F.col("canonical_id").alias("from_canonical_id")), "id", "seq").withColumnRenamed("id", "parent_id")
     rows = entities.where(F.col("artifact_type").isin(*DEFINED)).select("parent_id", F.col("canonical_id").alias("to_canonical_id"))
     return rows.join(parents.drop("seq"), "parent_id").select("from_canonical_id", "to_canonical_id")
 
 
-def ancestors(entities: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor, distance), the entity itself at 0, up to `depth` steps. An entity
-    whose parent is itself ends there."""
-    links = first_by(entities.select("id", "parent_id", "seq"), "id", "seq").where("parent_id is not null and parent_id <> id").select("id", "parent_id")
+def ancestors(entities: DataFrame) -> DataFrame:
+    """(id, ancestor, distance), the entity itself at 0, at any depth. A ring of parents
+    ends where it comes back to an ancestor met before."""
+    scratch = Scratch(entities.sparkSession)
+    links = first_by(entities.select("id", "parent_id", _order(entities).alias("seq")), "id", "seq").where("parent_id is not null and parent_id <> id").select("id", "parent_id")
     level = entities.select("id").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     out = level
-    up = links.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("above"))
-    for d in range(1, depth + 1):
-        level = level.join(up, "ancestor").select("id", F.col("above").alias("ancestor"), F.lit(d).alias("distance"))
+    up = scratch.write(links.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("above")))
+    for d in count(1):
+        above = level.join(up, "ancestor").select("id", F.col("above").alias("ancestor"), F.lit(d).alias("distance"))
+        level, rows = scratch.counted(above.join(out, ["id", "ancestor"], "left_anti").select("id", "ancestor", "distance"))
+        if not rows:
+            return out
         out = out.unionByName(level)
-    return out
 
 
-def call_edges(entities: DataFrame, depth: int = 8) -> DataFrame:
+def call_edges(entities: DataFrame) -> DataFrame:
     """from (the caller's scope), to and confidence. A call of an enclosing scope's own
     name resolves there (1.0), else to the last symbol of that name (0.5), else not."""
-    calls = entities.where("artifact_type = 'CALL'").select("canonical_id", "parent_id", "name")
-    scopes = first_by(entities.select("id", "name", F.col("canonical_id").alias("scope"), "seq"), "id", "seq").drop("seq")
-    chain = ancestors(entities, depth).join(scopes.select(F.col("id").alias("ancestor"), F.col("name").alias("scope_name"), "scope"), "ancestor")
+    calls = entities.where("artifact_type = 'CALL'").select("parent_id", "name")
+    scopes = first_by(entities.select("id", "name", F.col("canonical_id").alias("scope"), _order(entities).alias("seq")), "id", "seq").drop("seq")
+    chain = ancestors(entities).join(scopes.select(F.col("id").alias("ancestor"), F.col("name").alias("scope_name"), "scope"), "ancestor")
     near = calls.join(chain.withColumnRenamed("id", "parent_id"), "parent_id").where("scope_name = name")
-    near = near.groupBy("canonical_id").agg(F.min_by("scope", "distance").alias("near"))
+    near = near.groupBy("parent_id", "name").agg(F.min_by("scope", "distance").alias("near"))
     far = symbol_table(entities).select("name", F.col("canonical_id").alias("far"))
     callers = scopes.select(F.col("id").alias("parent_id"), F.col("scope").alias("from_canonical_id"))
-    rows = calls.join(callers, "parent_id").join(near, "canonical_id", "left").join(far, "name", "left")
+    rows = calls.join(callers, "parent_id").join(near, ["parent_id", "name"], "left").join(far, "name", "left")
     return rows.select("from_canonical_id", F.coalesce("near", "far").alias("to_canonical_id"), F.when(F.col("near").isNotNull(), 1.0).otherwise(0.5).alias("confidence")).where("to_canonical_id is not null")
 
 
@@ -129,6 +138,7 @@ def reachable(edges: DataFrame, starts: DataFrame, *, types: Iterable[str] | Non
     scratch = Scratch(edges.sparkSession)
     kept = of_types(edges, types)
     steps = kept.select(F.col("src" if direction == "out" else "dst").alias("node"), F.col("dst" if direction == "out" else "src").alias("next")).distinct()
+    steps = scratch.write(steps) if depth > 1 else steps  # else each level would make them anew
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct()
     if known is not None:
         seen = seen.join(known.select(F.col(known.columns[0]).alias("node")), "node", "left_semi").select("start", "node", "distance")
@@ -136,7 +146,7 @@ def reachable(edges: DataFrame, starts: DataFrame, *, types: Iterable[str] | Non
     for d in range(1, depth + 1):
         new = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
         new = new.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(d))
-        if d > 2:
+        if d < depth:
             new = scratch.write(new)
         seen, frontier = seen.unionByName(new), new
     return seen.where("distance > 0")
@@ -183,7 +193,22 @@ def with_recognised_text(artifacts: DataFrame) -> DataFrame:
     return keep_last(both.withColumn("seq", seq), ["page_number", "type", "order_index"], "seq").drop("seq", "late")
 
 
+def node(nodes: DataFrame, *, document_id: str | None = None, repo_id: str | None = None, canonical_id: str | None = None) -> DataFrame:
+    """The node of a document id, or of a repository and canonical id."""
+    if document_id is not None:
+        return nodes.where(F.col("document_id") == document_id)
+    if repo_id is None or canonical_id is None:
+        raise ValueError("a document_id, or a repo_id and a canonical_id")
+    return nodes.where((F.col("repo_id") == repo_id) & (F.col("canonical_id") == canonical_id))
+
+
 def labelled_nodes(nodes: DataFrame, ids: Iterable[str], repo: str | Column) -> DataFrame:
     """Nodes of a repository with one of the ids; an empty list gives no rows."""
     ids = list(ids)
     return nodes.where((F.col("repo_id") == repo) & (F.col("canonical_id").isin(*ids) if ids else F.lit(False)))
+
+
+def chunks_with_nodes(nodes: DataFrame, chunks: DataFrame, by: str = "chunk_index") -> DataFrame:
+    """The chunks of the nodes, by title and then in their order: a check of what is
+    stored for them."""
+    return nodes.join(chunks, "document_id").orderBy("title", by)

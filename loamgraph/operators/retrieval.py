@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,10 @@ TRAVERSALS = (
 )
 
 
+#: Fixed value: the one provider of answers.
+PROVIDER = "ollama"
+
+
 def traversals(question: Column) -> Column:
     """The traversals that a question asks for: array of (relation_type, direction)."""
     low, out = F.lower(question), None
@@ -155,26 +159,100 @@ def clusters(documents: DataFrame, key: Column | None, *, document: str = "docum
     return documents.groupBy(name.alias("cluster")).agg(F.sort_array(F.collect_list(document)).alias("members"))
 
 
-def execute_plan(chunks: DataFrame, plan: DataFrame, per_doc: int = 5) -> DataFrame:
-    """The first chunks of each document of the plan, and no other document's."""
-    return per_document(chunks.join(plan.select("document_id").distinct(), "document_id", "left_semi"), per_doc)
-
-
-def hybrid(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, question: str, per_doc: int = 10) -> DataFrame:
-    """Chunks of a code question's answer, with role (hit or graph) and doc_rank.
-
-    hits: ranked chunks (rank, document_id, chunk_id, chunk_index, text, canonical_id).
-    The longest canonical id of the hits is where the graph is entered; the neighbours
-    that the question asks for add the first chunks of their documents."""
-    start = start_node(hits.where("canonical_id is not null").select("canonical_id")).select(F.lit(0).alias("question_id"), F.lit(question).alias("question"), F.col("canonical_id").alias("start"))
-    near = traverse_for(edges, start).select(F.col("node").alias("canonical_id"))
-    docs = nodes.join(near, "canonical_id", "left_semi").select("document_id").distinct()
-    own = document_order(hits.where("document_id is not null"))
-    more = docs.join(own.select("document_id"), "document_id", "left_anti")
-    extra = per_document(chunks.join(more, "document_id", "left_semi"), per_doc)
-    columns = ["document_id", "chunk_id", "chunk_index", "text"]
-    last = F.lit(1 << 30)
-    return own.select(*columns, F.lit("hit").alias("role"), F.col("doc_rank").cast("int").alias("doc_rank")).unionByName(extra.select(*columns, F.lit("graph").alias("role"), last.cast("int").alias("doc_rank")))
+def cluster_sizes(documents: DataFrame, key: Column | None, *, document: str = "document_id") -> DataFrame:
+    """cluster, n, first: the number of documents of each cluster and the least of them,
+    without holding a cluster in one row."""
+    name = F.lit("ALL") if key is None else F.coalesce(key.cast("string"), F.lit("UNKNOWN"))
+    return documents.groupBy(name.alias("cluster")).agg(F.count(document).alias("n"), F.min(document).alias("first"))
+
+
+def execute_plan(chunks: DataFrame, plan: DataFrame, per_doc: int = 5, *, by: Sequence[str] = ("chunk_index", "chunk_id")) -> DataFrame:
+    """The first chunks of each document of the plan, and no other document's: the join
+    is the boundary, so a chunk of another document can't leak in."""
+    return per_document(chunks.join(plan.select("document_id").distinct(), "document_id", "left_semi"), per_doc, by=by)
+
+
+def plan_json(plan: DataFrame) -> DataFrame:
+    """One row: the plan as JSON, seeds and expanded documents sorted, and the provenance
+    of the latter. A plan holds what one prompt is made from."""
+    ids = lambda role: F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("document_id"))))
+    origin = F.struct("document_id", "source_document_id", "relation_type")
+    made = F.struct(
+        ids("seed").alias("seed_document_ids"), ids("expanded").alias("expanded_document_ids"),
+        F.sort_array(F.collect_set(F.when(F.col("role") == "expanded", origin))).alias("expansion_metadata"),
+    )
+    return plan.agg(F.to_json(made).alias("plan"))
+
+
+HIT_COLUMNS = ("document_id", "chunk_id", "text", "score", "position")
+
+
+def hybrid(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, question: str, repo: str | Column, per_doc: int = 10) -> DataFrame:
+    """Chunks of a code question's answer: document_id, chunk_id, text, score, role (hit
+    or graph) and position (in the document).
+
+    hits: ranked chunks (rank, document_id, chunk_id, text, score, canonical_id), those
+    without a document left out. The graph is entered at the longest canonical id of the
+    hits; the documents in the repository of the hits' ids and of the neighbours that the
+    question asks for add their first chunks, unless a hit is theirs."""
+    own = hits.where("document_id is not null")
+    seeds = own.where("canonical_id is not null").select("canonical_id").distinct()
+    start = start_node(seeds).select(F.lit(0).alias("question_id"), F.lit(question).alias("question"), F.col("canonical_id").alias("start"))
+    ids = seeds.unionByName(traverse_for(edges, start).select(F.col("node").alias("canonical_id"))).distinct()
+    there = nodes.where((F.col("repo_id") == repo) & F.col("document_id").isNotNull()).join(ids, "canonical_id", "left_semi").select("document_id").distinct()
+    missing = there.join(own.select("document_id"), "document_id", "left_anti")
+    return _with_fetched(own, chunks, missing, per_doc, "graph")
+
+
+def _with_fetched(own: DataFrame, chunks: DataFrame, missing: DataFrame, per_doc: int, role: str) -> DataFrame:
+    """The hits by rank, and the first chunks of the missing documents with the score 1."""
+    place = F.row_number().over(W.partitionBy("document_id").orderBy("chunk_index", "chunk_id"))
+    extra = chunks.join(missing, "document_id", "left_semi").withColumn("position", place).where(F.col("position") <= per_doc).withColumn("score", F.lit(1.0))
+    rank = F.row_number().over(W.partitionBy("document_id").orderBy("rank"))
+    hits = own.withColumn("doc_rank", F.min("rank").over(W.partitionBy("document_id"))).withColumn("position", rank)
+    return hits.select(*HIT_COLUMNS, F.lit("hit").alias("role"), F.col("doc_rank").cast("int").alias("doc_rank")).unionByName(
+        extra.select(*HIT_COLUMNS, F.lit(role).alias("role"), F.lit(None).cast("int").alias("doc_rank"))
+    )
+
+
+def _assembled(found: DataFrame, budget: int, per_doc: int, keep: Column | None) -> DataFrame:
+    """Rows of an answer, in their order: the first chunks of each document, the caller's
+    predicate; in_context says which lie before the token budget's end. Documents come
+    by their best hit, then the fetched ones by id."""
+    rows = per_document(found, per_doc, by=("position",))
+    rows = rows if keep is None else rows.where(keep)
+    order = W.orderBy(F.col("doc_rank").isNull(), "doc_rank", "document_id", "position")  # one prompt's chunks
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("tokens", token_count(F.col("text")).cast("long"))
+    total = F.sum("tokens").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("place", "document_id", "chunk_id", "role", "tokens", "text").withColumn("in_context", total <= budget)
+
+
+def run_rag(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, question: str, repo: str | Column, *, per_doc: int = 5, budget: int = 4096, keep: Column | None = None) -> DataFrame:
+    """What answers a code question: one row per chunk (place, document_id, chunk_id,
+    role, tokens, text, in_context). The context is the rows in_context, joined; the
+    sources are the document_id of all rows, repeats and rows beyond the budget among
+    them. `generate` makes the answer."""
+    return _assembled(hybrid(hits, nodes, edges, chunks, question, repo), budget, per_doc, keep)
+
+
+def run_simple_rag(hits: DataFrame, edges: DataFrame, chunks: DataFrame, *, per_doc: int = 5, budget: int = 2048, keep: Column | None = None) -> DataFrame:
+    """What answers a question on documents: the hits (their search leaves code out), and
+    three chunks of each document that a hit's document DEFINES. Rows as in run_rag; the
+    sources are its distinct documents in order. Only the hits' documents are ordered by
+    rank, as there."""
+    own = hits.where("document_id is not null")
+    expanded = expand_once(edges, own.select("document_id"), ["DEFINES"]).select("document_id")
+    found = _with_fetched(own, chunks, expanded.join(own.select("document_id"), "document_id", "left_anti"), 3, "expanded")
+    return _assembled(found, budget, per_doc, keep)
+
+
+def generate(context: str, question: str, provider: str | None = None, *, call: Callable[[str], str] | None = None) -> str:
+    """The answer of the model behind `call` to the prompt; without one, the prompt. Any
+    other provider than the known one is an error."""
+    if provider not in (None, PROVIDER):
+        raise ValueError(f"Unsupported LLM provider: {provider}")
+    text = f"Context:\n{context}\n\nQuestion:\n{question}"
+    return call(text) if call else text
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:

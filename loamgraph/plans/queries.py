@@ -242,8 +242,7 @@ def summary_context(spark, sf):
 def document_clusters(spark, sf):
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left")
-    found = retrieval.clusters(docs, F.col("quality"), document="doc_id")
-    return found.select("cluster", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"))
+    return retrieval.cluster_sizes(docs, F.col("quality"), document="doc_id")
 
 
 # --- catalogue and maintenance

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "seq int, artifact_type string, id string, name string, parent_id string, relative_path string, doc_type string, text string, metadata string"
+SCHEMA = "seq int, artifact_type string, id string, canonical_id string, name string, parent_id string, relative_path string, doc_type string, text string, metadata string"
 
 Artifact = tuple[str, str, str, "str | None", str, dict]
 
@@ -34,12 +34,11 @@ class _Walk:
     """Depth-first over a syntax tree with the enclosing scope and class."""
 
     def __init__(self, path: str, source: str):
-        self.path, self.source = path, source
+        self.path, self.lines = path, source.splitlines()
         self.found: list[Artifact] = []
 
     def _text(self, node: ast.AST) -> str:
-        lines = self.source.splitlines()
-        return "\n".join(lines[node.lineno - 1 : node.end_lineno])
+        return "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
 
     def _add(self, kind: str, tail: str, name: str, parent: str, node: ast.AST, text: str = "", **more) -> str:
         own = f"{self.path}#{tail}"
@@ -199,7 +198,7 @@ def extracted(files: DataFrame, parsers: dict[str, Callable[[str, str], list[Art
                     found = parse(path, source)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-                rows = [(i, kind, own, name, parent, path, _doc_type(kind), text, json.dumps(meta)) for i, (kind, own, name, parent, text, meta) in enumerate(found)]
+                rows = [(i, kind, own, own, name, parent, path, _doc_type(kind), text, json.dumps(meta)) for i, (kind, own, name, parent, text, meta) in enumerate(found)]
                 yield pd.DataFrame(rows, columns=columns)
 
     return files.select("relative_path", "source").mapInPandas(run, SCHEMA)
