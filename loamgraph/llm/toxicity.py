@@ -8,7 +8,8 @@ landmark is the greatest of its words'; runs of single characters count as a wor
 
 Landmarks are substrings of words of the labelled toxic documents, chosen one by one to
 cover most documents not covered yet while hardly any other document holds them. The
-kernel values are mapped by the inverse root of the landmarks' own kernel matrix. Labels
+kernel values are mapped by the inverse root of the landmarks' own normalised kernel
+matrix, which is symmetric and positive semi-definite. Labels
 are for documents, so the SVM is trained on sentences by turns: of a toxic document the
 sentence with the highest score, and those that hold a whole landmark, are positive; of
 others all sentences are negative. A
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +167,6 @@ def sentence_kernels(offs: np.ndarray, data: np.ndarray, landmarks: list[bytes],
 
 
 def _substrings(word: bytes, lengths: tuple[int, int]) -> set[bytes]:
-    word = word[: 2 * PIECE]
     return {word[i : i + n] for n in range(lengths[0], lengths[1] + 1) for i in range(len(word) - n + 1)}
 
 
@@ -173,14 +174,18 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = 24, least_
     """Substrings of toxic documents' words that cover these documents, greedily. Words
     that hold a landmark give no further one. A landmark is in `least_docs` and in
     `least_share` of the toxic documents at least, in the former so that chance alone
-    hardly makes one."""
+    hardly makes one, and at most a fiftieth as often in other documents as in these."""
     lowered = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     clean = [t for t, y in zip(lowered, toxic) if not y]
-    known = {w for t in clean for w in t.split()}
+    # A word that several other documents hold gives no landmark; a few may be mislabelled.
+    often = Counter(w for t in clean for w in set(t.split()))
+    known = {w for w, c in often.items() if c > max(1, 0.001 * len(clean))}
     docs = [{w.strip(b".,;:!?*%&$#|\"'()") for w in set(t.split()) - known} for t, y in zip(lowered, toxic) if y]
     count = Counter(s for words in docs for s in set().union(*(_substrings(w, lengths) for w in words)))
     least = max(least_docs, least_share * len(docs))
     usable = {s for s, c in count.items() if c >= least}
+    del count, often
+    in_clean: dict[bytes, int] = {}
     held = [{w: c for w in words if (c := _substrings(w, lengths) & usable)} for words in docs]
     worth = [1.0] * len(held)
     chosen: list[bytes] = []
@@ -192,14 +197,21 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = 24, least_
                 weight[s] += w
                 full[s] += 1
         fits = [s for s in weight if full[s] >= least]
-        # What many other documents hold shows in the first few hundred of them.
-        for mark in sorted(fits, key=lambda s: (-round(weight[s], 6), -len(s), s)):
-            bound = 0.02 * full[mark] * max(len(clean), 1) / max(len(held), 1)
-            head = sum(mark in t for t in clean[:300])
-            if head <= bound and head + sum(mark in t for t in clean[300:]) <= bound:
-                break
-            usable.discard(mark)
-        else:
+        # Of those worth nearly the most, the one that the fewest other documents hold.
+        fits = sorted(fits, key=lambda s: (-round(weight[s], 6), -len(s), s))
+        share = len(held) / max(len(clean), 1)
+        mark = None
+        while fits and mark is None:
+            best = [s for s in fits[:24] if weight[s] >= 0.9 * weight[fits[0]]]
+            for s in best:
+                if s not in in_clean:  # counted as far as it matters
+                    in_clean[s] = sum(1 for _ in islice((t for t in clean if s in t), int(0.02 * full[s] / share) + 1))
+            fair = [s for s in best if in_clean[s] * share <= 0.02 * full[s]]
+            usable.difference_update(s for s in best if s not in fair)
+            if fair:
+                mark = min(fair, key=lambda s: (round(5 * in_clean[s] * share - weight[s], 6), -len(s), s))
+            fits = fits[len(best) :]
+        if mark is None:
             return chosen
         chosen.append(mark)
         for i, words in enumerate(held):
@@ -254,6 +266,23 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def landmark_kernel(marks: list[bytes]) -> np.ndarray:
+    """The landmarks' normalised kernel matrix, each value squared. Both keep it positive
+    semi-definite: it is a product of two such matrices, value by value."""
+    padded = np.zeros((len(marks), max(map(len, marks))), dtype=np.uint8)
+    for i, m in enumerate(marks):
+        padded[i, : len(m)] = np.frombuffer(m, dtype=np.uint8)
+    raw = np.column_stack([subsequence_kernel(padded, m) for m in marks]).astype(float)
+    norm = np.sqrt(np.diag(raw))
+    return ((raw + raw.T) / 2 / np.outer(norm, norm)) ** 2
+
+
+def inverse_root(kernel: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """The inverse root, with a ridge for landmarks that are nearly the same."""
+    values, vectors = np.linalg.eigh(kernel)
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0) + ridge)) @ vectors.T
+
+
 def fit(sample: list[tuple[str, int]]) -> Model:
     texts, toxic = [t for t, _ in sample], np.array([y for _, y in sample], dtype=np.int64)
     marks = choose_landmarks(texts, toxic) if toxic.any() else []
@@ -267,12 +296,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         values.append(v)
         rows.append(r + lo)
     x, row = np.concatenate(values).astype(float), np.concatenate(rows)
-    padded = np.zeros((len(marks), max(map(len, marks))), dtype=np.uint8)
-    for i, m in enumerate(marks):
-        padded[i, : len(m)] = np.frombuffer(m, dtype=np.uint8)
-    gram = np.column_stack([(subsequence_kernel(padded, m) / o) ** 2 for m, o in zip(marks, own)])
-    values_, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.clip(values_, 1e-2, None))) @ vectors.T
+    root = inverse_root(landmark_kernel(marks))
     mapped = x @ root
     top = x.max(1)
     whole = top > 0.95
