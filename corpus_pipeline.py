@@ -9,9 +9,8 @@ the tasks of the stage that runs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loamgraph.llm.mixing import mix_sources
+from loamgraph.llm.mixing import take_mix
 from loamgraph.llm.near_dedup import keep_one
 from loamgraph.llm.packing import pack
 from loamgraph.llm.quality import keep_good
@@ -20,13 +19,14 @@ from loamgraph.runtime import Scratch, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject. Null and empty texts and null
+    ids are scored like any text, repeated rows alike; an empty table stays empty."""
     ship(spark)
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; odd rows as in drop_toxic."""
     ship(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -40,14 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes, down to none."""
+    """As many copies of each document as the mix takes, down to none. Sources are the
+    column `source`, null one of them; null texts have no words, and are taken as often
+    as all documents of their source."""
     ship(spark)
-    taken = mix_sources(docs, weights=(5, 2, 1), repeats=3).where("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return take_mix(docs, weights=(5, 2, 1), repeats=3)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 2048."""
+    """Pieces of the documents' tokens in sequences of 2048. A null or empty text is its
+    end's token; repeated rows are documents of their own."""
     ship(spark)
     return pack(docs)
 
