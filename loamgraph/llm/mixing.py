@@ -28,6 +28,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: of such patterns, those of the fewest first, are brought to the driver at most.
 FEW, FEW_IN_ALL = 256, 1 << 18
 
+#: Rows of a plan that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+
 #: Documents that a subset sum is worked out over: the largest and the smallest ones.
 LARGEST, SMALLEST = 40, 24
 
@@ -204,6 +207,10 @@ def few_copies(weights: Sequence[int], wanted: int, repeats: int) -> list[int]:
     return copies
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 #: Columns that a mix adds while it is worked out.
@@ -275,7 +282,7 @@ def _with_copies(docs: DataFrame, sources: str, weights: Sequence[float], repeat
             break
         few.append(tuple(r["mix_pattern"]))
         held += r["items"]
-    asked = F.broadcast(spark.createDataFrame([(list(p),) for p in few], "mix_pattern array<string>"))
+    asked = _small(spark.createDataFrame([(list(p),) for p in few], "mix_pattern array<string>"), len(few))
     own = defaultdict(list)
     for r in light.join(asked, "mix_pattern", "left_semi").orderBy("mix_key").select("mix_pattern", "mix_key", "weight").collect():
         own[tuple(r["mix_pattern"])].append((tuple(r["mix_key"]), r["weight"]))
@@ -285,7 +292,7 @@ def _with_copies(docs: DataFrame, sources: str, weights: Sequence[float], repeat
     many = {p: n for p, n in capacity.items() if p not in own}
     once = {p: flow[p] % max(n, 1) for p, n in many.items()}
     cells = [(list(p), once[p], n) for p, n in many.items()]
-    cells = F.broadcast(spark.createDataFrame(cells, "mix_pattern array<string>, rest long, all_words long"))
+    cells = _small(spark.createDataFrame(cells, "mix_pattern array<string>, rest long, all_words long"), len(cells))
 
     # Each size class gives its share of a pattern's last copies. Where they end in it:
     # the hash range, then the last document that fits and the one that crosses the end.
@@ -301,10 +308,10 @@ def _with_copies(docs: DataFrame, sources: str, weights: Sequence[float], repeat
 
     def ends_of(wanted: dict) -> dict[tuple, list]:
         rests = [(list(p), c, n) for p, by in wanted.items() for c, n in by.items()]
-        rests = F.broadcast(spark.createDataFrame(rests, "mix_pattern array<string>, mix_class int, rest long"))
+        rests = _small(spark.createDataFrame(rests, "mix_pattern array<string>, mix_class int, rest long"), len(rests))
         cut = edge.join(rests, cell).where("before < rest and rest <= before + words").select(*cell, "bucket", F.col("before").alias("ahead"), "rest")
         cut = scratch.write(cut)
-        inside = light.join(F.broadcast(cut), [*cell, "bucket"])
+        inside = light.join(_small(cut, sum(map(len, wanted.values()))), [*cell, "bucket"])
         inside = inside.withColumn("upto", F.col("ahead") + F.coalesce(F.sum("weight").over(run.orderBy("mix_key")), F.lit(0)) + F.col("weight"))
         fits = F.col("upto") <= F.col("rest")
         crossing = F.min(F.when(~fits, F.struct("mix_key", "weight"))).alias("next")
@@ -346,10 +353,11 @@ def _with_copies(docs: DataFrame, sources: str, weights: Sequence[float], repeat
         for r in by_pattern[p]:
             last = r["next"]["mix_key"] if r["mix_class"] in chosen else r["last_key"]
             cuts.append((list(p), r["mix_class"], r["bucket"], tuple(last) if last else None))
+    n_cuts = len(cuts)
     plan = spark.createDataFrame(plan, f"{pattern} array<string>, {OWN}source_size long, {OWN}target double, {OWN}base long")
     cuts = spark.createDataFrame(cuts, f"{pattern} array<string>, {klass} int, {OWN}edge long, {OWN}last_key struct<hash: long, doc_id: long, size: long>")
 
-    full = sized.join(F.broadcast(plan), pattern).join(F.broadcast(cuts), [pattern, klass], "left").join(F.broadcast(settled), [pattern, key], "left")
+    full = sized.join(_small(plan, len(capacity)), pattern).join(_small(cuts, n_cuts), [pattern, klass], "left").join(F.broadcast(settled), [pattern, key], "left")
     more = (bucket < F.col(f"{OWN}edge")) | ((bucket == F.col(f"{OWN}edge")) & (F.col(key) <= F.col(f"{OWN}last_key")))
     copies = F.coalesce(F.col(f"{OWN}settled").cast("long"), F.col(f"{OWN}base") + F.when(more, 1).otherwise(0))
     return full.withColumn(f"{OWN}copies", copies)

@@ -416,7 +416,8 @@ def _pairs_of_blocks(index: Index, percent: int):
     def columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
         t = pa.Table.from_batches(parts)
         flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        return *(t.column(c).to_numpy() for c in ("set_id", "label", "n")), flat("signature"), flat("bits")
+        # Of a negative number, numpy counts the bits of the absolute value.
+        return *(t.column(c).to_numpy() for c in ("set_id", "label", "n")), flat("signature"), flat("bits").view(np.uint64)
 
     def pairs(key: int, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
         ids_l, label_l, n_l, words_l, bits_l = left

@@ -291,6 +291,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == {(i, len(s), root[i], root[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_in_a_chain_and_in_a_group_below_the_similarity(spark):
+    rng = np.random.default_rng(8)
+    line = [f"c{i}" for i in range(3200)]
+    chain = [line[6 * i : 6 * i + 100] for i in range(500)]  # each is linked with the next only
+    base = [f"b{i}" for i in range(120)]
+    group = []
+    for _ in range(500):
+        ws = list(base)
+        for k in rng.choice(120, int(rng.integers(2, 12)), replace=False):
+            ws[k] = f"z{rng.integers(1 << 30)}"
+        group.append(ws)
+    docs = list(enumerate(chain + group))
+    sets = [{tuple(ws[k : k + 4]) for k in range(len(ws) - 3)} for _, ws in docs]
+    root = list(range(1000))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for lo, hi in ((0, 500), (500, 1000)):
+        for i in range(lo, hi):
+            for j in range(i + 1, hi):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    want = {i: find(i) for i in range(1000)}
+    assert len({want[i] for i in range(500)}) == 1 and len({want[i] for i in range(500, 1000)}) > 50
+    frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame, width=4).collect()} == want
+
+
 def test_near_duplicates_at_a_great_signature_distance(spark):
     # Pairs at the similarity 4 of 5 that share a key, with 16 to 18 of 30 slots differing.
     docs = []
