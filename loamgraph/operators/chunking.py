@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank, or_default, section_chunk_id, strip
+from .graph import defines_edges
 
 
 def fixed_chars(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -134,3 +135,13 @@ def ingested(texts: DataFrame, *, source_type: str, provider: str, doc_type: str
     chunks = chunk_table(live, key="ingestion_id")
     stamp = stamped(chunks, source_type=source_type, provider=provider, doc_type=doc_type, strategy=F.col("chunk_strategy"), params=F.col("params"))
     return nodes, stamp.drop("params")
+
+
+def ingested_sections(artifacts: DataFrame, ingestion: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, chunks) of uploaded Markdown from its artifacts: a node for the file
+    and each section, DEFINES edges from each parent to its sections, and one chunk for
+    each section with text."""
+    rows = artifacts.withColumn("ingestion_id", ingestion)
+    nodes = rows.select("ingestion_id", "canonical_id", F.col("name").alias("title"), "relative_path", "doc_type", F.lit("Summary pending").alias("summary"))
+    edges = defines_edges(rows).select(F.col("from_canonical_id").alias("src"), F.col("to_canonical_id").alias("dst"), F.lit("DEFINES").alias("relation_type"))
+    return nodes, edges, section_chunks(rows.where("artifact_type = 'MARKDOWN_SECTION'"))

@@ -340,6 +340,17 @@ def section_chunks(spark, sf):
     return found.select("id", "chunk_index", "chunk_text", "chunk_strategy")
 
 
+@query(f"""WITH c AS ({_MD}), n AS (SELECT f AS id, 's' || n AS title FROM c UNION ALL SELECT f || '#top_' || n, 'Top ' || n FROM c UNION ALL SELECT f || '#top_' || n || '.k' || n, 'K' || n FROM c UNION ALL SELECT f || '#top_' || n || '_2', 'Top ' || n FROM c),
+e AS (SELECT f AS src, f || '#top_' || n AS dst FROM c UNION ALL SELECT f, f || '#top_' || n || '_2' FROM c UNION ALL SELECT f || '#top_' || n, f || '#top_' || n || '.k' || n FROM c)
+SELECT 'node' AS kind, id AS a, title AS b FROM n UNION ALL SELECT 'edge', src, dst FROM e UNION ALL SELECT 'chunk', id, 'unknown' FROM n WHERE id LIKE '%#%'""")
+def ingested_markdown(spark, sf):
+    ship(spark)
+    artifacts = extract.extracted(made(spark, sf, FILES)).where("relative_path like '%.md'")
+    nodes, edges, chunks = chunking.ingested_sections(artifacts, F.lit("i1"))
+    one = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return one(nodes, "node", "canonical_id", "title").unionByName(one(edges, "edge", "src", "dst")).unionByName(one(chunks, "chunk", "id", "chunk_strategy"))
+
+
 @query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS chunk_index, text AS chunk_text FROM conversations""")
 def stored_records(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("{}").alias("source_metadata"), F.col("text").alias("chunk_text"))
