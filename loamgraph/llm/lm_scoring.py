@@ -34,8 +34,9 @@ from ..runtime import Scratch
 from .batches import SLICE_BYTES, lower_ascii, string_column, text_slices, word_bounds, word_hashes
 from .labelled import split_of
 
-#: Bytes of texts that are dealt out to lanes together, about.
-GROUP_BYTES = 4 << 20
+#: Bytes of texts that are dealt out to lanes together, about: enough for many lanes beside
+#: a long document, since the steps of a window cost much the same for a few lanes.
+GROUP_BYTES = 16 << 20
 
 #: Rows of word counts that a task holds before it passes them on.
 HELD_WORDS = 1 << 18
@@ -161,6 +162,37 @@ class Gru:
                 down[rows] += share @ q
         return out, g, down
 
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probability of each used target of a window (0 elsewhere), and the
+        state after it: what outputs() gives, without what only the way back needs."""
+        h, w = self.s.hidden, self.w
+        given = w["A"][inputs] + w["c"]
+        after = np.empty((*inputs.shape, h), dtype=self.dtype)
+        for t in range(len(inputs)):
+            state = state * fresh[t][:, None]
+            back = state @ w["U"]
+            gates = given[t, :, : 2 * h] + back[:, : 2 * h]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            n = np.tanh(given[t, :, 2 * h :] + gates[:, h:] * back[:, 2 * h :])
+            state = n + gates[:, :h] * (state - n)
+            after[t] = state
+        some = np.flatnonzero(used)
+        x, wanted = after.reshape(-1, h)[some], targets.ravel()[some]
+        own = self.class_of[wanted]
+        out = _log_share(x @ w["O"] + w["d"], own)
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(len(self.members) + 1))
+        for k, units in enumerate(self.members):
+            rows = order[bounds[k] : bounds[k + 1]]
+            if len(rows) and len(units) > 1:
+                out[rows] += _log_share(x[rows] @ w["Q"][units].T + w["e"][units], self.place[wanted[rows]])
+        log = np.zeros(inputs.size, dtype=self.dtype)
+        log[some] = out
+        return log.reshape(inputs.shape), state
+
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray):
         """Mean loss of a window, its gradients and the state after it."""
         h, w = self.s.hidden, self.w
@@ -205,6 +237,14 @@ class Gru:
         return state
 
 
+def _log_share(logits: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The log of the softmax at one place of each row."""
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(logits)), picked]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(1))
+
+
 def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     logits = logits - logits.max(1, keepdims=True)
     share = np.exp(logits)
@@ -233,23 +273,24 @@ def windows(units: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[tuple[np
         return
     longest = max(int(lengths[x].sum()) for x in lanes)
     steps = -(-longest // s.window) * s.window
-    targets = np.zeros((steps, len(lanes)), dtype=np.int32)
-    inputs, used, fresh = np.zeros_like(targets), np.zeros(targets.shape, dtype=np.float32), np.ones(targets.shape, dtype=np.float32)
-    document = np.zeros_like(targets)
+    targets = np.zeros((len(lanes), steps), dtype=np.uint16)
+    document = np.full((len(lanes), steps), -1, dtype=np.int32)
     for i, docs in enumerate(lanes):
         n = 0
         for d in docs:
             m = int(lengths[d])
-            targets[n : n + m, i] = units[at[d] : at[d + 1]]
-            document[n : n + m, i] = d
-            fresh[n, i] = 0
+            targets[i, n : n + m] = units[at[d] : at[d + 1]]
+            document[i, n : n + m] = d
             n += m
-        inputs[1:n, i] = targets[: n - 1, i]
-        used[:n, i] = 1
-    inputs[fresh == 0] = 0
+    last, owner = np.zeros(len(lanes), dtype=np.intp), np.full(len(lanes), -2)
     for lo in range(0, steps, s.window):
-        hi = lo + s.window
-        yield inputs[lo:hi], targets[lo:hi], used[lo:hi], fresh[lo:hi], document[lo:hi]
+        target = targets[:, lo : lo + s.window].T.astype(np.intp)
+        own = document[:, lo : lo + s.window].T
+        begins = np.vstack((own[:1] != owner, own[1:] != own[:-1]))
+        inputs = np.vstack((last, target[:-1]))
+        inputs[begins] = 0
+        last, owner = target[-1], own[-1]
+        yield inputs, target, (own >= 0).astype(np.float32), (~begins).astype(np.float32), own
 
 
 def run_training(gru: Gru, units: np.ndarray, at: np.ndarray, rate: float) -> None:
@@ -266,11 +307,9 @@ def unit_scores(gru: Gru, units: np.ndarray, at: np.ndarray) -> np.ndarray:
     for inputs, targets, used, fresh, document in windows(units, at, gru.s):
         if state is None:
             state = np.zeros((inputs.shape[1], gru.s.hidden), dtype=gru.dtype)
-        after, _ = gru.states(inputs, fresh, state)
-        state = after[-1]
-        some = np.flatnonzero(used.ravel())
-        logs, _, _ = gru.outputs(after.reshape(-1, gru.s.hidden)[some], targets.ravel()[some])
-        out += np.bincount(document.ravel()[some], weights=logs.astype(np.float64), minlength=len(out))
+        log, state = gru.log_probabilities(inputs, targets, used, fresh, state)
+        some = used > 0
+        out += np.bincount(document[some], weights=log[some].astype(np.float64), minlength=len(out))
     return out
 
 
