@@ -84,14 +84,20 @@ def test_lm_scores(spark, sf):
     assert sum(r["score"] for r in rest) > sum(r["base_score"] for r in rest)
 
 
-@pytest.mark.parametrize("f, label, mod, out, least", [(quality, "quality", 5, 0, 0.8), (toxicity, "toxic", 4, 2, 0.9)])
+@pytest.mark.parametrize("f, label, mod, out, least", [(quality, "quality", 5, 0, 0.95), (toxicity, "toxic", 4, 2, 0.7)])
 def test_classifiers_on_held_out_documents(spark, sf, f, label, mod, out, least):
+    """The share of pairs of a document of either label that the scores order rightly:
+    0.5 for any constant score, however uneven the labels are."""
     sf = sf.replace("sf0.001", "sf0.01")
     labels = table(spark, sf, "labels")
-    found = f(table(spark, sf, "documents"), labels).where("held_out").join(labels, "doc_id")
-    assert found.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != out).count() == 0
-    right = found.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-    assert right >= least
+    found = f(table(spark, sf, "documents"), labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert all(zlib.crc32(str(i).encode()) % mod == out for i in found["doc_id"])
+    one, none = (found.loc[found[label] == y, "score"].to_numpy()[:, None] for y in (1, 0))
+    assert len(one) >= 5 and len(none) >= 5
+    assert ((one > none.T) + 0.5 * (one == none.T)).mean() >= least
+    # Clean documents are left alone, and most that are caught are rightly so.
+    good = 0 if label == "toxic" else 1
+    assert (found.loc[found[label] == good, "predicted"] == good).mean() >= 0.95
 
 
 def test_nearest_odd_vectors(spark):
