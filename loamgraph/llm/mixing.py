@@ -289,7 +289,7 @@ def _with_copies(docs: DataFrame, sources: str, weights: Sequence[float], repeat
     settled = [(list(p), k, n) for p, items in own.items() for (k, _), n in zip(items, few_copies([w for _, w in items], flow[p], repeats))]
     settled = spark.createDataFrame(settled, f"{pattern} array<string>, {key} struct<hash: long, doc_id: long, size: long>, {OWN}settled int")
 
-    many = {p: n for p, n in capacity.items() if p not in own}
+    many = {p: n for p, n in capacity.items() if p not in own and n}
     once = {p: flow[p] % max(n, 1) for p, n in many.items()}
     cells = [(list(p), once[p], n) for p, n in many.items()]
     cells = _small(spark.createDataFrame(cells, "mix_pattern array<string>, rest long, all_words long"), len(cells))

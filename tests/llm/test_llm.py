@@ -145,6 +145,12 @@ def test_mixing_sources_that_share_documents(spark):
     assert {c for c in mix_sources(docs.withColumn("taken", F.lit("x"))).columns} == {*docs.columns, "size", "source_size", "target", "copies", "taken"}
 
 
+def test_mixing_a_source_without_words(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c").alias("text"), F.when(F.col("id") % 2 == 0, "full").otherwise("empty").alias("source"))
+    got = mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert {r["source"]: (r["taken"], r["target"]) for r in got} == {"full": (900, 900.0), "empty": (0, 0.0)}
+
+
 def test_mixing_more_sources_than_a_flow_could_take(spark):
     docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
     assert mix_sources(docs).agg(F.count("*"), F.max("copies")).first() == (25_000, 2)
