@@ -85,13 +85,13 @@ class Gru:
     def __init__(self, s: Settings, class_of: np.ndarray, weights: dict[str, np.ndarray] | None = None, dtype=np.float32):
         rng, h, n, m = np.random.default_rng(s.seed), s.hidden, len(class_of), int(class_of.max()) + 1
         shapes = {"A": (n, 3 * h), "U": (h, 3 * h), "c": (3 * h,), "O": (h, m), "d": (m,), "Q": (n, h), "e": (n,)}
-        self.s, self.shapes, self.dtype, self.class_of = s, shapes, dtype, class_of
+        self.s, self.shapes, self.dtype, self.class_of = s, shapes, dtype, class_of.astype(np.uint16)
         self.w = weights or {k: (rng.normal(size=v) * (0.3 if len(v) == 2 else 0)).astype(dtype) for k, v in shapes.items()}
         self.first = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.second = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.step = 0
-        order = np.argsort(class_of, kind="stable")
-        self.members = np.split(order, np.cumsum(np.bincount(class_of, minlength=m))[:-1])
+        self.by_class = np.argsort(class_of, kind="stable")
+        self.members = np.split(self.by_class, np.cumsum(np.bincount(class_of, minlength=m))[:-1])
         self.place = np.empty(n, dtype=np.int64)
         for units in self.members:
             self.place[units] = np.arange(len(units))
@@ -114,113 +114,110 @@ class Gru:
         self.w["d"] = np.log(by_class / by_class.sum()).astype(self.dtype)
         self.w["e"] = np.log(weight / by_class[self.class_of]).astype(self.dtype)
 
-    def states(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
         """inputs, fresh (steps x lanes): unit before, and 0 where a document starts.
-        The states after each step, and what the way back needs."""
-        h, w = self.s.hidden, self.w
-        given = w["A"][inputs] + w["c"]
-        steps, lanes = inputs.shape
-        kept = np.empty((steps, 5, lanes, h), dtype=self.dtype)  # state before, z, r, u, n
+        The states after each step, the gates z, r and n, and with `keep` the states
+        before each step and what r was multiplied with. Each gate has an array of its
+        own, (steps, lanes, hidden), so that a step works on whole blocks of memory."""
+        h, (steps, lanes) = self.s.hidden, inputs.shape
+        gates = np.take(_apart(self.w["A"] + self.w["c"], h), inputs, axis=1)
+        u = _apart(self.w["U"], h)
         after = np.empty((steps, lanes, h), dtype=self.dtype)
+        kept = np.empty((2, steps, lanes, h), dtype=self.dtype) if keep else None
+        state, back = state.astype(self.dtype), np.empty((3, lanes, h), dtype=self.dtype)
         for t in range(steps):
-            state = state * fresh[t][:, None]
-            back = state @ w["U"]
-            gates = 1 / (1 + np.exp(-(given[t, :, : 2 * h] + back[:, : 2 * h])))
-            z, r = gates[:, :h], gates[:, h:]
-            n = np.tanh(given[t, :, 2 * h :] + r * back[:, 2 * h :])
-            kept[t] = state, z, r, back[:, 2 * h :], n
-            state = n + z * (state - n)
+            state[fresh[t] == 0] = 0
+            np.matmul(state, u, out=back)
+            if keep:
+                kept[:, t] = state, back[2]
+            zr, n = gates[:2, t], gates[2, t]
+            zr += back[:2]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            back[2] *= zr[1]
+            n += back[2]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[0]
+            state += n
             after[t] = state
-        return after, kept
+        return after, gates, kept
 
     def outputs(self, after: np.ndarray, targets: np.ndarray, used: np.ndarray | None = None):
         """Natural log-probability of each target unit (flat). With `used`, the weights
-        of the targets in the loss: also its gradients, and those of the states."""
-        w, n = self.w, len(targets)
-        wanted = self.class_of[targets]
-        log, share = _log_softmax(after @ w["O"] + w["d"])
-        out = log[np.arange(n), wanted]
-        g = down = None
-        if used is not None:
-            share[np.arange(n), wanted] -= 1
-            share *= used[:, None]
-            g = {"O": after.T @ share, "d": share.sum(0), "Q": np.zeros_like(w["Q"]), "e": np.zeros_like(w["e"])}
-            down = share @ w["O"].T
+        of the targets in the loss: also its gradients, and those of the states. Rows are
+        worked on by class; logits have a column for each row, so that sums over units
+        add whole rows of memory."""
+        w, wanted = self.w, self.class_of[targets]
         order = np.argsort(wanted, kind="stable")
-        bounds = np.searchsorted(wanted[order], np.arange(len(self.members) + 1))
-        for k, units in enumerate(self.members):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if not len(rows) or len(units) == 1:
+        x, wanted, own = after.take(order, 0), wanted[order], self.place[targets[order]]
+        rows, units = (np.searchsorted(c, np.arange(len(self.members) + 1)) for c in (wanted, self.class_of[self.by_class]))
+        q, e = w["Q"][self.by_class], w["e"][self.by_class]
+        used = None if used is None else used[order]
+        logits = w["O"].T @ x.T
+        logits += w["d"][:, None]
+        log, g, down = _log_share(logits, wanted, used), None, None
+        if used is not None:
+            g = {"O": (logits @ x).T.copy(), "d": logits.sum(1), "Q": np.zeros_like(q), "e": np.zeros_like(e)}
+            by_unit, down = {k: np.zeros_like(g[k]) for k in "Qe"}, logits.T @ w["O"].T
+        for a, b, lo, hi in zip(rows[:-1], rows[1:], units[:-1], units[1:]):
+            if a == b or hi - lo == 1:
                 continue
-            x, q, own = after[rows], w["Q"][units], self.place[targets[rows]]
-            log, share = _log_softmax(x @ q.T + w["e"][units])
-            out[rows] += log[np.arange(len(rows)), own]
+            logits = q[lo:hi] @ x[a:b].T
+            logits += e[lo:hi, None]
+            log[a:b] += _log_share(logits, own[a:b], None if used is None else used[a:b])
             if used is not None:
-                share[np.arange(len(rows)), own] -= 1
-                share *= used[rows, None]
-                g["Q"][units], g["e"][units] = share.T @ x, share.sum(0)
-                down[rows] += share @ q
-        return out, g, down
+                by_unit["Q"][lo:hi], by_unit["e"][lo:hi] = logits @ x[a:b], logits.sum(1)
+                down[a:b] += logits.T @ q[lo:hi]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        if used is not None:
+            for k, v in by_unit.items():
+                g[k][self.by_class] = v
+            down = down.take(back, 0)
+        return log[back], g, down
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each used target of a window (0 elsewhere), and the
-        state after it: what outputs() gives, without what only the way back needs."""
-        h, w = self.s.hidden, self.w
-        given = w["A"][inputs] + w["c"]
-        after = np.empty((*inputs.shape, h), dtype=self.dtype)
-        for t in range(len(inputs)):
-            state = state * fresh[t][:, None]
-            back = state @ w["U"]
-            gates = given[t, :, : 2 * h] + back[:, : 2 * h]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            n = np.tanh(given[t, :, 2 * h :] + gates[:, h:] * back[:, 2 * h :])
-            state = n + gates[:, :h] * (state - n)
-            after[t] = state
-        some = np.flatnonzero(used)
-        x, wanted = after.reshape(-1, h)[some], targets.ravel()[some]
-        own = self.class_of[wanted]
-        out = _log_share(x @ w["O"] + w["d"], own)
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(len(self.members) + 1))
-        for k, units in enumerate(self.members):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows) and len(units) > 1:
-                out[rows] += _log_share(x[rows] @ w["Q"][units].T + w["e"][units], self.place[wanted[rows]])
-        log = np.zeros(inputs.size, dtype=self.dtype)
-        log[some] = out
-        return log.reshape(inputs.shape), state
+        state after it."""
+        after, _, _ = self.states(inputs, fresh, state)
+        log, some = np.zeros(inputs.size, dtype=self.dtype), np.flatnonzero(used)
+        log[some] = self.outputs(after.reshape(-1, self.s.hidden)[some], targets.ravel()[some])[0]
+        return log.reshape(inputs.shape), after[-1]
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray):
         """Mean loss of a window, its gradients and the state after it."""
-        h, w = self.s.hidden, self.w
-        after, kept = self.states(inputs, fresh, state)
-        steps, lanes = inputs.shape
+        h, (steps, lanes) = self.s.hidden, inputs.shape
+        after, (z, r, n), (before, u) = self.states(inputs, fresh, state, keep=True)
         weight = (used.ravel() / max(used.sum(), 1)).astype(self.dtype)
         log, g, down = self.outputs(after.reshape(-1, h), targets.ravel(), weight)
         down = down.reshape(steps, lanes, h)
-        gates = np.empty((steps, lanes, 3 * h), dtype=self.dtype)
-        back = np.empty((steps, lanes, 3 * h), dtype=self.dtype)
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u * r * (1 - r)
+        gates = np.empty((4, steps, lanes, h), dtype=self.dtype)  # of z, r, n, and n's times r
+        back = _apart(self.w["U"], h).transpose(0, 2, 1).copy()
         later = np.zeros((lanes, h), dtype=self.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, u, n = kept[t]
-            d = down[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            gates[t, :, :h] = d * (before - n) * z * (1 - z)
-            gates[t, :, h : 2 * h] = dn * u * r * (1 - r)
-            gates[t, :, 2 * h :] = dn
-            back[t, :, : 2 * h] = gates[t, :, : 2 * h]
-            back[t, :, 2 * h :] = dn * r
-            later = (d * z + back[t] @ w["U"].T) * fresh[t][:, None]
-        flat = gates.reshape(-1, 3 * h)
-        g["U"] = kept[:, 0].reshape(-1, h).T @ back.reshape(-1, 3 * h)
-        g["c"] = flat.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        found, at = np.unique(inputs.ravel()[order], return_index=True)
-        g["A"] = np.zeros_like(w["A"])
-        g["A"][found] = np.add.reduceat(flat[order], at, axis=0)
+            d, (dz, dr, dn, du) = down[t], gates[:, t]
+            d += later
+            np.multiply(d, to_z[t], out=dz)
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(dn, to_r[t], out=dr)
+            np.multiply(dn, r[t], out=du)
+            np.multiply(d, z[t], out=later)
+            for x, given in zip((dz, dr, du), back):
+                later += x @ given
+            later[fresh[t] == 0] = 0
+        flat, before = gates.reshape(4, -1, h), before.reshape(-1, h)
+        g["U"] = np.concatenate([before.T @ flat[k] for k in (0, 1, 3)], axis=1)
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
+        found = inputs.ravel()[order]
+        at = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        g["A"] = np.zeros_like(self.w["A"])
+        for k in range(3):
+            g["A"][found[at], k * h : (k + 1) * h] = np.add.reduceat(flat[k].take(order, 0), at, axis=0)
+        g["c"] = g["A"].sum(0)
         return -float(log @ weight), g, after[-1]
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, fresh: np.ndarray, state: np.ndarray, rate: float) -> np.ndarray:
@@ -237,19 +234,23 @@ class Gru:
         return state
 
 
-def _log_share(logits: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """The log of the softmax at one place of each row."""
-    logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(logits)), picked]
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(1))
+def _apart(gates: np.ndarray, h: int) -> np.ndarray:
+    """(n, 3 * h) as (3, n, h): the weights of each gate in an array of their own."""
+    return np.ascontiguousarray(gates.reshape(-1, 3, h).transpose(1, 0, 2))
 
 
-def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits = logits - logits.max(1, keepdims=True)
-    share = np.exp(logits)
-    total = share.sum(1, keepdims=True)
-    return logits - np.log(total), share / total
+def _log_share(logits: np.ndarray, picked: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The log of the softmax at one place of each column. With weights of the columns,
+    `logits` becomes the gradient of the weighted sum of -log."""
+    logits -= logits.max(0)
+    columns = np.arange(logits.shape[1])
+    own = logits[picked, columns]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    if weight is not None:
+        logits *= weight / total
+        logits[picked, columns] -= weight
+    return own - np.log(total)
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[np.ndarray]:

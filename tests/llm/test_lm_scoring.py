@@ -1,6 +1,10 @@
 """The language model against plain loops, its gradients against differences."""
 
 import math
+import os
+import subprocess
+import sys
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +77,43 @@ def test_scores_equal_plain_loops_over_many_windows_and_lanes():
     assert got == pytest.approx([sum(plain_log_probability(net, units[a:b])) for a, b in zip(at[:-1], at[1:])])
 
 
+def window_cost():
+    """CPU seconds of a window at full size, there and back and for scores only, each over
+    those of the bare products and exponentials in numpy; the least of many turns."""
+    s, rng = Settings(), np.random.default_rng(2)
+    weight = 1 / np.arange(1, s.units + 1)
+    net = Gru(s, classes_of(weight, s.classes))
+    shape, h = (s.window, s.lanes), s.hidden
+    inputs, targets = rng.choice(s.units, (2, *shape), p=weight / weight.sum())
+    window = inputs, targets, np.ones(shape, np.float32), (rng.random(shape) < 0.998).astype(np.float32), np.zeros((s.lanes, h), np.float32)
+    x, gates, units = (rng.normal(size=(a, b)).astype(np.float32) for a, b in ((s.window * s.lanes, h), (h, 3 * h), (h, s.classes)))
+
+    def bare(back):
+        for w in (gates, units, units):  # the gates; the classes; about as many units within them
+            y = np.exp(x @ w)
+            if back:
+                y @ w.T, x.T @ y
+
+    runs = [lambda: net.gradients(*window), lambda: bare(True), lambda: net.log_probabilities(*window), lambda: bare(False)]
+    least = [math.inf] * len(runs)
+    for turn in range(60):
+        for i, run in enumerate(runs):
+            begin = time.process_time()
+            run()
+            least[i] = min(least[i], time.process_time() - begin) if turn > 9 else math.inf
+    return least[0] / least[1], least[2] / least[3]
+
+
+def test_a_window_costs_few_times_its_products_and_exponentials():
+    env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(sys.path)}
+    code = f"import runpy; print(*runpy.run_path({__file__!r})['window_cost']())"
+    for _ in range(3):  # other work on the machine may slow a turn
+        there_and_back, scores = map(float, subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split())
+        if there_and_back < 4.2 and scores < 3.5:
+            return
+    pytest.fail(f"{there_and_back:.1f} and {scores:.1f} times")
+
+
 @pytest.fixture(scope="module")
 def docs(spark, sf):
     ship(spark)
