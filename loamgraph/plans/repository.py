@@ -97,7 +97,7 @@ SELECT f AS relative_path, seq, artifact_type, id, id AS canonical_id, name, par
   CASE artifact_type WHEN 'METHOD' THEN '    def m(self, x):' || chr(10) || '        return f' || substr(f, 2, length(f) - 4) || '(x)' WHEN 'FUNCTION' THEN 'def ' || name || '():' || chr(10) || '    pass' END AS text FROM rows""")
 def python_entities(spark, sf):
     ship(spark)
-    rows = extract.extracted(made(spark, sf, FILES)).where("relative_path like '%.py'")
+    rows = extract.extracted(made(spark, sf, FILES), {".py": extract.python_artifacts})
     return rows.select("relative_path", "seq", "artifact_type", "id", "canonical_id", "name", "parent_id", F.when(F.col("artifact_type").isin("METHOD", "FUNCTION"), F.col("text")).alias("text"))
 
 

@@ -225,3 +225,22 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+
+def test_many_files_share_a_batch():
+    import pyarrow as pa
+
+    files = pa.record_batch([pa.array([f"f{i}.py" for i in range(3000)] + ["x.txt", None]), pa.array(["import os\n"] * 3000 + ["", "x"])], names=["relative_path", "source"])
+    made = list(extract.artifact_batches([files, files], {".py": extract.python_artifacts}))
+    assert [b.num_rows for b in made] == [extract.BATCH_ROWS, 2000]
+    assert pa.Table.from_batches(made).column("seq").to_pylist() == [0, 1] * 6000
+    long = pa.record_batch([pa.array(["a.md", "b.md"]), pa.array(["x" * extract.BATCH_CHARS] * 2)], names=["relative_path", "source"])
+    assert [b.num_rows for b in extract.artifact_batches([long], {".md": extract.markdown_artifacts})] == [1, 1]
+
+
+
+def test_files_of_one_partition_are_parsed_in_many_tasks(spark):
+    files = spark.range(200).coalesce(1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("relative_path"), F.lit("x = 1").alias("source"))
+    found = extract.extracted(files).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 200 and len({r["task"] for r in found}) > 1
