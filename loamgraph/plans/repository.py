@@ -108,7 +108,7 @@ UNION ALL SELECT f, 2, 'MARKDOWN_SECTION', f || '#top_' || n || '.k' || n, 'K' |
 UNION ALL SELECT f, 3, 'MARKDOWN_SECTION', f || '#top_' || n || '_2', 'Top ' || n, f, 'markdown_section', '# Top ' || n || chr(10) || 'end' FROM c""")
 def markdown_entities(spark, sf):
     ship(spark)
-    rows = extract.extracted(made(spark, sf, FILES)).where("relative_path like '%.md'")
+    rows = extract.extracted(made(spark, sf, FILES), {".md": extract.markdown_artifacts})
     return rows.select("relative_path", "seq", "artifact_type", "id", "name", "parent_id", "doc_type", F.when(F.col("artifact_type") == "MARKDOWN_SECTION", F.col("text")).alias("text"))
 
 

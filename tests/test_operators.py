@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as X
 from loamgraph.operators import catalog, chunking, graph, retrieval, vectors
+from loamgraph.plans import repository
 from loamgraph.sources import extract
 from loamgraph.streaming.ingest import ingest_text
 
@@ -244,3 +245,11 @@ def test_files_of_one_partition_are_parsed_in_many_tasks(spark):
     files = spark.range(200).coalesce(1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("relative_path"), F.lit("x = 1").alias("source"))
     found = extract.extracted(files).withColumn("task", F.spark_partition_id()).collect()
     assert len(found) == 200 and len({r["task"] for r in found}) > 1
+
+
+def test_queries_of_one_kind_of_file_parse_no_other(spark, sf, monkeypatch):
+    seen, real = [], extract.extracted
+    monkeypatch.setattr(extract, "extracted", lambda files, parsers=None: seen.append(sorted(parsers or {".py", ".md"})) or real(files, parsers))
+    for query in (repository.python_entities, repository.markdown_entities):
+        query(spark, sf)
+    assert seen == [[".py"], [".md"]]
