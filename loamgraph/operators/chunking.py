@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank, or_default, section_chunk_id, strip
+from ..runtime import Scratch
 from .graph import defines_edges
 
 
@@ -140,8 +141,13 @@ def ingested(texts: DataFrame, *, source_type: str, provider: str, doc_type: str
 def ingested_sections(artifacts: DataFrame, ingestion: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, chunks) of uploaded Markdown from its artifacts: a node for the file
     and each section, DEFINES edges from each parent to its sections, and one chunk for
-    each section with text."""
-    rows = artifacts.withColumn("ingestion_id", ingestion)
+    each section with text. What these need of the artifacts is written first, so that
+    files are parsed once."""
+    section = F.col("artifact_type") == "MARKDOWN_SECTION"
+    rows = artifacts.withColumn("ingestion_id", ingestion).select(
+        "ingestion_id", "id", "canonical_id", "artifact_type", "name", "parent_id", "relative_path", "seq", "doc_type", F.when(section, F.col("text")).alias("text"),
+    )
+    rows = Scratch(artifacts.sparkSession).write(rows)
     nodes = rows.select("ingestion_id", "canonical_id", F.col("name").alias("title"), "relative_path", "doc_type", F.lit("Summary pending").alias("summary"))
     edges = defines_edges(rows).select(F.col("from_canonical_id").alias("src"), F.col("to_canonical_id").alias("dst"), F.lit("DEFINES").alias("relation_type"))
-    return nodes, edges, section_chunks(rows.where("artifact_type = 'MARKDOWN_SECTION'"))
+    return nodes, edges, section_chunks(rows.where(section))

@@ -345,7 +345,7 @@ e AS (SELECT f AS src, f || '#top_' || n AS dst FROM c UNION ALL SELECT f, f ||
 SELECT 'node' AS kind, id AS a, title AS b FROM n UNION ALL SELECT 'edge', src, dst FROM e UNION ALL SELECT 'chunk', id, 'unknown' FROM n WHERE id LIKE '%#%'""")
 def ingested_markdown(spark, sf):
     ship(spark)
-    artifacts = extract.extracted(made(spark, sf, FILES)).where("relative_path like '%.md'")
+    artifacts = extract.extracted(made(spark, sf, FILES), {".md": extract.markdown_artifacts})
     nodes, edges, chunks = chunking.ingested_sections(artifacts, F.lit("i1"))
     one = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     return one(nodes, "node", "canonical_id", "title").unionByName(one(edges, "edge", "src", "dst")).unionByName(one(chunks, "chunk", "id", "chunk_strategy"))

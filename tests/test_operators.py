@@ -250,6 +250,28 @@ def test_files_of_one_partition_are_parsed_in_many_tasks(spark):
 def test_queries_of_one_kind_of_file_parse_no_other(spark, sf, monkeypatch):
     seen, real = [], extract.extracted
     monkeypatch.setattr(extract, "extracted", lambda files, parsers=None: seen.append(sorted(parsers or {".py", ".md"})) or real(files, parsers))
-    for query in (repository.python_entities, repository.markdown_entities):
+    for query in (repository.python_entities, repository.markdown_entities, repository.ingested_markdown):
         query(spark, sf)
-    assert seen == [[".py"], [".md"]]
+    assert seen == [[".py"], [".md"], [".md"]]
+
+
+
+def counting(spark, parse):
+    """A parser that counts the files it is given."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(path, source):
+        seen.add(1)
+        return parse(path, source)
+
+    return run, seen
+
+
+
+def test_ingested_sections_parse_each_file_once(spark):
+    run, seen = counting(spark, extract.markdown_artifacts)
+    files = spark.createDataFrame([(f"f{i}.md", "# A\nx\n## B\ny") for i in range(20)], "relative_path string, source string")
+    nodes, edges, chunks = chunking.ingested_sections(extract.extracted(files, {".md": run}), F.lit("i"))
+    assert (nodes.count(), edges.count(), chunks.count()) == (60, 40, 40)
+    assert {r["chunk_text"] for r in chunks.collect()} == {"# A\nx\n## B\ny", "## B\ny"}
+    assert seen.value == 20
