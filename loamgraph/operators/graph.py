@@ -45,12 +45,13 @@ def defines_edges(entities: DataFrame) -> DataFrame:
     return rows.join(parents.drop("seq"), "parent_id").select("from_canonical_id", "to_canonical_id")
 
 
-def ancestors(entities: DataFrame) -> DataFrame:
-    """(id, ancestor, distance), the entity itself at 0, at any depth. A ring of parents
-    ends where it comes back to an ancestor met before."""
+def ancestors(entities: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor, distance), the entity itself at 0, at any depth, of all entities or
+    of those in `ids` (id). A ring of parents ends where it comes back to an ancestor met
+    before."""
     scratch = Scratch(entities.sparkSession)
     links = first_by(entities.select("id", "parent_id", _order(entities).alias("seq")), "id", "seq").where("parent_id is not null and parent_id <> id").select("id", "parent_id")
-    level = entities.select("id").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    level = (entities if ids is None else ids).select("id").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     out = level
     up = scratch.write(links.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("above")))
     for d in count(1):
@@ -66,7 +67,7 @@ def call_edges(entities: DataFrame) -> DataFrame:
     name resolves there (1.0), else to the last symbol of that name (0.5), else not."""
     calls = entities.where("artifact_type = 'CALL'").select("parent_id", "name")
     scopes = first_by(entities.select("id", "name", F.col("canonical_id").alias("scope"), _order(entities).alias("seq")), "id", "seq").drop("seq")
-    chain = ancestors(entities).join(scopes.select(F.col("id").alias("ancestor"), F.col("name").alias("scope_name"), "scope"), "ancestor")
+    chain = ancestors(entities, calls.select(F.col("parent_id").alias("id"))).join(scopes.select(F.col("id").alias("ancestor"), F.col("name").alias("scope_name"), "scope"), "ancestor")
     near = calls.join(chain.withColumnRenamed("id", "parent_id"), "parent_id").where("scope_name = name")
     near = near.groupBy("parent_id", "name").agg(F.min_by("scope", "distance").alias("near"))
     far = symbol_table(entities).select("name", F.col("canonical_id").alias("far"))
@@ -85,7 +86,10 @@ def documents_edges(entities: DataFrame) -> DataFrame:
 
 
 def repo_edges(entities: DataFrame) -> DataFrame:
-    """All edges of a repository's entities, one table."""
+    """All edges of a repository's entities, one table. What edges need of the entities
+    is written first, since they are read many times and may come from parsed files."""
+    used = ("id", "canonical_id", "artifact_type", "name", "parent_id", "relative_path", "seq")
+    entities = Scratch(entities.sparkSession).write(entities.select(*(c for c in used if c in entities.columns)))
     named = lambda df, kind, meta: df.select("from_canonical_id", "to_canonical_id", F.lit(kind).alias("relation_type"), meta.alias("metadata"))
     out = named(defines_edges(entities), "DEFINES", F.lit("{}"))
     out = out.unionByName(named(call_edges(entities), "CALL", F.to_json(F.struct("confidence"))))

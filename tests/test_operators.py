@@ -275,3 +275,21 @@ def test_ingested_sections_parse_each_file_once(spark):
     assert (nodes.count(), edges.count(), chunks.count()) == (60, 40, 40)
     assert {r["chunk_text"] for r in chunks.collect()} == {"# A\nx\n## B\ny", "## B\ny"}
     assert seen.value == 20
+
+
+
+def test_edges_parse_each_file_once(spark):
+    run, seen = counting(spark, extract.python_artifacts)
+    files = spark.createDataFrame([(f"f{i}.py", f"def f{i}():\n    f{i}()\n") for i in range(20)], "relative_path string, source string")
+    edges = graph.repo_edges(extract.extracted(files, {".py": run})).collect()
+    assert sorted((r["to_canonical_id"], r["relation_type"]) for r in edges) == sorted((f"f{i}.py#f{i}", kind) for i in range(20) for kind in ("CALL", "DEFINES"))
+    assert seen.value == 20
+
+
+
+def test_only_callers_get_their_ancestors(spark):
+    entity = "seq int, artifact_type string, id string, canonical_id string, name string, parent_id string"
+    entities = spark.createDataFrame([(0, "MODULE", "m", "m", "m", None), (1, "CLASS", "m#K", "m#K", "K", "m"), (2, "METHOD", "m#K.f", "m#K.f", "f", "m#K"), (3, "METHOD", "m#K.g", "m#K.g", "g", "m#K")], entity)
+    ids = spark.createDataFrame([("m#K.f",), (None,)], "id string")
+    found = {(r["id"], r["ancestor"], r["distance"]) for r in graph.ancestors(entities, ids).where("id is not null").collect()}
+    assert found == {("m#K.f", "m#K.f", 0), ("m#K.f", "m#K", 1), ("m#K.f", "m", 2)}
