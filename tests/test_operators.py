@@ -228,7 +228,6 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
 
 
-
 def test_many_files_share_a_batch():
     import pyarrow as pa
 
@@ -240,7 +239,6 @@ def test_many_files_share_a_batch():
     assert [b.num_rows for b in extract.artifact_batches([long], {".md": extract.markdown_artifacts})] == [1, 1]
 
 
-
 def test_files_of_one_partition_are_parsed_in_many_tasks(spark):
     files = spark.range(200).coalesce(1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("relative_path"), F.lit("x = 1").alias("source"))
     found = extract.extracted(files).withColumn("task", F.spark_partition_id()).collect()
@@ -255,7 +253,6 @@ def test_queries_of_one_kind_of_file_parse_no_other(spark, sf, monkeypatch):
     assert seen == [[".py"], [".md"], [".md"]]
 
 
-
 def counting(spark, parse):
     """A parser that counts the files it is given."""
     seen = spark.sparkContext.accumulator(0)
@@ -267,7 +264,6 @@ def counting(spark, parse):
     return run, seen
 
 
-
 def test_ingested_sections_parse_each_file_once(spark):
     run, seen = counting(spark, extract.markdown_artifacts)
     files = spark.createDataFrame([(f"f{i}.md", "# A\nx\n## B\ny") for i in range(20)], "relative_path string, source string")
@@ -277,7 +273,6 @@ def test_ingested_sections_parse_each_file_once(spark):
     assert seen.value == 20
 
 
-
 def test_edges_parse_each_file_once(spark):
     run, seen = counting(spark, extract.python_artifacts)
     files = spark.createDataFrame([(f"f{i}.py", f"def f{i}():\n    f{i}()\n") for i in range(20)], "relative_path string, source string")
@@ -286,7 +281,6 @@ def test_edges_parse_each_file_once(spark):
     assert seen.value == 20
 
 
-
 def test_only_callers_get_their_ancestors(spark):
     entity = "seq int, artifact_type string, id string, canonical_id string, name string, parent_id string"
     entities = spark.createDataFrame([(0, "MODULE", "m", "m", "m", None), (1, "CLASS", "m#K", "m#K", "K", "m"), (2, "METHOD", "m#K.f", "m#K.f", "f", "m#K"), (3, "METHOD", "m#K.g", "m#K.g", "g", "m#K")], entity)
