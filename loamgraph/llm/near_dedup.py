@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..runtime import Scratch, in_few_tasks
+from ..runtime import TASK_ROWS, Scratch, in_few_tasks
 from .batches import mix, runs, string_column, text_slices, word_bounds, word_hashes
 
 #: Columns that hold a row's key while rows are chosen.
@@ -175,9 +175,10 @@ def _described(docs: DataFrame, width: int, index: Index) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key struct<a: long, b: int>, n_shingles long, set_id long, signature array<long>, bits array<long>")
 
 
-def _keys(nodes: DataFrame, index: Index) -> DataFrame:
+def _keys(nodes: DataFrame, n_nodes: int, index: Index) -> DataFrame:
     """(key, set_id): for every chunk and every choice of slots left out. A key's low ten
-    bits are the number of the choice."""
+    bits are the number of the choice. The nodes are dealt out by the number of keys, as
+    the few files that hold them would put millions of keys into one task's memory."""
     masks = [(c, sum(((1 << index.bits) - 1) << index.bits * j for j in range(index.slots) if j not in out)) for c in range(index.chunks) for out in _left_out(index)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,8 @@ def _keys(nodes: DataFrame, index: Index) -> DataFrame:
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "set_id"])
 
-    return nodes.select("set_id", "signature").mapInArrow(run, "key long, set_id long")
+    tasks = min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * len(masks) // TASK_ROWS + 1)
+    return nodes.select("set_id", "signature").repartition(tasks, "set_id").mapInArrow(run, "key long, set_id long")
 
 
 def _left_out(index: Index) -> list[tuple[int, ...]]:
@@ -309,7 +311,7 @@ def _classes(docs: DataFrame, width: int, percent: int, index: Index) -> tuple[D
         F.max("n_shingles").alias("n"), F.max("signature").alias("signature"), F.max("bits").alias("bits"),
     )
     nodes, n_nodes = scratch.counted(in_few_tasks(nodes, n_docs, 4096))
-    keys = _keys(nodes, index)
+    keys = _keys(nodes, n_nodes, index)
     n_keys = n_nodes * index.chunks * len(_left_out(index))
     groups = keys.groupBy("key").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("low"), F.count("*").alias("rows")).where("rows > 1")
     groups = scratch.write(in_few_tasks(groups, n_keys))
