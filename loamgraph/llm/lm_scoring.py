@@ -21,7 +21,7 @@ complete document.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -328,23 +328,30 @@ class Units:
         return out
 
 
-def _words(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(offs: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hashes and last two bytes of a slice's words, and each row's first word (n + 1).
-    A slice of one long text is read in pieces that end at white space."""
-    hashes, endings, lo, found = [], [], 0, np.zeros(len(offs), dtype=np.int64)
+    A slice of one long text comes in pieces that end at white space."""
+    lo = 0
     while True:
         hi = len(data) if len(data) - lo <= 2 * SLICE_BYTES or len(offs) > 2 else _cut(data, lo)
-        part = data[lo:hi]
-        starts, ends, first = word_bounds(np.clip(offs - lo, 0, len(part)), part)
-        low = lower_ascii(part).astype(np.int32)
-        before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
-        last = low[ends - 1] if len(starts) else starts
-        hashes.append(word_hashes(part, starts, ends).view(np.int64))
-        endings.append((before * 256 + last).astype(np.int32))
-        found += first
+        yield _piece(np.clip(offs - lo, 0, hi - lo), data[lo:hi])
         lo = hi
         if lo >= len(data):
-            return np.concatenate(hashes), np.concatenate(endings), found
+            return
+
+
+def _piece(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, first = word_bounds(offs, data)
+    low = lower_ascii(data).astype(np.int32)
+    before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0) if len(starts) else starts
+    last = low[ends - 1] if len(starts) else starts
+    return word_hashes(data, starts, ends).view(np.int64), (before * 256 + last).astype(np.int32), first
+
+
+def _words(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of a slice as one."""
+    hashes, endings, first = zip(*_pieces(offs, data))
+    return np.concatenate(hashes), np.concatenate(endings), sum(first)
 
 
 def _cut(data: np.ndarray, lo: int) -> int:
@@ -362,29 +369,47 @@ def _cut(data: np.ndarray, lo: int) -> int:
 def _with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The units with a 0 after each document, and where each document begins."""
     at = first + np.arange(len(first))
-    out = np.zeros(at[-1], dtype=np.int32)
-    out[np.arange(len(units)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = units
+    out, word = np.zeros(at[-1], dtype=np.uint16), np.ones(at[-1], dtype=bool)
+    word[at[1:] - 1] = False
+    out[word] = units
     return out, at
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, hashes, endings, first words) of groups of rows that make
-    about GROUP_BYTES; hashed by slices, so a group's bytes are never worked on at once."""
+def _groups(texts: pa.Array, units: Units, look: Callable | None = None) -> Iterator[tuple]:
+    """(first row, end row, units with ends, where each row begins, sums, words) of groups
+    of rows that make about GROUP_BYTES. `look` takes the hashes, units and first words of
+    a piece, and gives sums for each row (sums x rows) and some of the words. A group
+    holds two bytes a word besides those; all else is made and left by pieces."""
     held, size, begin = [], 0, 0
     for lo, hi, offs, data in text_slices(texts):
         if held and size + len(data) > GROUP_BYTES:
-            yield begin, lo, *_joined(held)
-            held, size, begin = [], 0, lo
-        held.append(_words(offs, data))
+            group, held = _joined(held), []
+            yield begin, lo, *group
+            size, begin = 0, lo
+        held.append(_read(offs, data, units, look))
         size += len(data)
     if held:
-        yield begin, len(texts), *_joined(held)
+        group, held = _joined(held), []
+        yield begin, len(texts), *group
+
+
+def _read(offs: np.ndarray, data: np.ndarray, units: Units, look: Callable | None) -> tuple[np.ndarray, ...]:
+    own, first, sums, words = [], 0, 0.0, [np.zeros(0, np.int64)]
+    for hashes, endings, begins in _pieces(offs, data):
+        own.append(units.of(hashes, endings).astype(np.uint16))
+        first = first + begins
+        if look:
+            more, some = look(hashes, own[-1], begins)
+            sums = sums + more
+            words.append(some)
+    return *_with_ends(np.concatenate(own), first), np.atleast_2d(sums), np.concatenate(words)
 
 
-def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.cumsum([0, *(p[2][-1] for p in parts)])
-    first = [p[2][:-1] + n for p, n in zip(parts, at)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([*first, at[-1:]])
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    units, begins, sums, words = zip(*parts)
+    before = np.cumsum([0, *(x[-1] for x in begins)])
+    at = np.concatenate([*(x[:-1] + n for x, n in zip(begins, before)), before[-1:]])
+    return np.concatenate(units), at, np.concatenate(sums, axis=1), np.concatenate(words)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,16 +423,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for _, _, offs, data in text_slices(string_column(b, "text")):
-            hashes, endings, _ = _words(offs, data)
-            found, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            held.append((found, endings[at], n))
-            size += len(found)
-            if size >= HELD_WORDS:
-                held = [summed()]
-                size = len(held[0][0])
-                if size >= HELD_WORDS // 2:
-                    yield pa.record_batch([pa.array(x) for x in held[0]], names=["word", "ending", "n"])
-                    held, size = [], 0
+            for hashes, endings, _ in _pieces(offs, data):
+                found, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((found, endings[at], n))
+                size += len(found)
+                if size >= HELD_WORDS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size >= HELD_WORDS // 2:
+                        yield pa.record_batch([pa.array(x) for x in held[0]], names=["word", "ending", "n"])
+                        held, size = [], 0
     if held:
         yield pa.record_batch([pa.array(x) for x in summed()], names=["word", "ending", "n"])
 
@@ -468,7 +493,7 @@ def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
     few = [r["text"] for r in few.orderBy("picked", "text").limit(s.first_docs).collect()]
     gru = Gru(s, class_of)
     gru.start_from(weight)
-    series = [_with_ends(units.of(h, e), f) for _, _, h, e, f in _groups(pa.array(few, pa.large_string()))]
+    series = [(c, at) for _, _, c, at, _, _ in _groups(pa.array(few, pa.large_string()), units)]
     for epoch in range(s.first_epochs):
         for c, at in series:
             run_training(gru, c, at, 0.02 * (1 - epoch / s.first_epochs) + 0.002)
@@ -478,8 +503,7 @@ def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
         flat, un, classes = start.value
         own, seen = Gru.of(s, classes, flat), 0
         for b in batches:
-            for _, _, hashes, endings, first in _groups(string_column(b, "text")):
-                c, at = _with_ends(un.of(hashes, endings), first)
+            for _, _, c, at, _, _ in _groups(string_column(b, "text"), un):
                 run_training(own, c, at, 0.002)
                 seen += len(c)
         if seen:
@@ -515,27 +539,24 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, un, classes, (seen, value), sizes = model.value
         net, row = Gru.of(s, classes, flat), TaskContext.get().partitionId() << 33
+
+        def look(hashes: np.ndarray, k: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = len(first) - 1
+            owner = np.repeat(np.arange(n), np.diff(first))
+            hit, log_n = np.zeros(len(hashes), bool), np.zeros(len(hashes))
+            if len(seen):
+                place = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
+                hit = seen[place] == hashes
+                log_n = np.where(hit, value[place], 0.0)
+            within = np.where(k <= s.words, 0.0, log_n - sizes[k])
+            return np.array([np.bincount(owner, weights=x, minlength=n) for x in (hit, log_n, within, ~hit)], dtype=float), hashes[~hit]
+
         for b in batches:
-            for lo, hi, hashes, endings, first in _groups(string_column(b, "text")):
-                k = un.of(hashes, endings)
-                c, at = _with_ends(k, first)
-                n = hi - lo
-                owner = np.repeat(np.arange(n), np.diff(first))
-                if len(seen):
-                    place = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
-                    hit = seen[place] == hashes
-                    log_n = np.where(hit, value[place], 0.0)
-                else:
-                    hit, log_n = np.zeros(len(hashes), bool), np.zeros(len(hashes))
-                single = k <= s.words
-                rare = hashes[~hit]
-                rare_at = np.concatenate(([0], np.cumsum(np.bincount(owner[~hit], minlength=n)))).astype(np.int32)
-                # Of no words at all, bincount gives whole numbers.
-                per_row = lambda x: np.bincount(owner, weights=x, minlength=n).astype(np.float64)
-                within = per_row(np.where(single, 0.0, log_n - sizes[k]))
+            for lo, hi, c, at, (known, base, within, others), rare in _groups(string_column(b, "text"), un, look):
+                n, rare_at = hi - lo, np.cumsum([0, *others]).astype(np.int32)
                 yield pa.record_batch([
                     pa.array(row + np.arange(n)), b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(at).astype(np.int64)),
-                    pa.array(np.bincount(owner[hit], minlength=n).astype(np.int64)), pa.array(per_row(log_n)),
+                    pa.array(known.astype(np.int64)), pa.array(base),
                     pa.array(within + unit_scores(net, c, at) / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare)),
                 ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
                 row += n
