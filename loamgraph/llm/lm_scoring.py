@@ -21,7 +21,7 @@ complete document.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch
+from ..runtime import Scratch, batch_bytes
 from .batches import SLICE_BYTES, lower_ascii, string_column, text_slices, word_bounds, word_hashes
 from .labelled import split_of
 
@@ -38,6 +38,10 @@ from .labelled import split_of
 #: a long document, since the steps of a window cost much the same for a few lanes.
 GROUP_BYTES = 16 << 20
 
+#: Bytes of an Arrow batch of texts, about. The JVM's direct memory holds a batch several
+#: times over, for each task.
+BATCH_BYTES = 4 << 20
+
 #: Rows of word counts that a task holds before it passes them on.
 HELD_WORDS = 1 << 18
 
@@ -375,22 +379,23 @@ def _with_ends(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def _groups(texts: pa.Array, units: Units, look: Callable | None = None) -> Iterator[tuple]:
-    """(first row, end row, units with ends, where each row begins, sums, words) of groups
-    of rows that make about GROUP_BYTES. `look` takes the hashes, units and first words of
+def _groups(texts: Iterable[pa.Array], units: Units, look: Callable | None = None) -> Iterator[tuple]:
+    """(units with ends, where each row begins, sums, words) of groups of rows, across
+    arrays, that make about GROUP_BYTES. `look` takes the hashes, units and first words of
     a piece, and gives sums for each row (sums x rows) and some of the words. A group
     holds two bytes a word besides those; all else is made and left by pieces."""
-    held, size, begin = [], 0, 0
-    for lo, hi, offs, data in text_slices(texts):
-        if held and size + len(data) > GROUP_BYTES:
-            group, held = _joined(held), []
-            yield begin, lo, *group
-            size, begin = 0, lo
-        held.append(_read(offs, data, units, look))
-        size += len(data)
+    held, size = [], 0
+    for some in texts:
+        for _, _, offs, data in text_slices(some):
+            if held and size + len(data) > GROUP_BYTES:
+                group, held = _joined(held), []
+                yield group
+                size = 0
+            held.append(_read(offs, data, units, look))
+            size += len(data)
     if held:
         group, held = _joined(held), []
-        yield begin, len(texts), *group
+        yield group
 
 
 def _read(offs: np.ndarray, data: np.ndarray, units: Units, look: Callable | None) -> tuple[np.ndarray, ...]:
@@ -458,7 +463,8 @@ def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
     """Counts and network from the doc_id and text of the training documents."""
     spark = training.sparkSession
     counted = training.select("text").mapInArrow(_counted, "word long, ending int, n long")
-    words = scratch.write(counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
+    with batch_bytes(spark, BATCH_BYTES):
+        words = scratch.write(counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
     ends = training.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_distinct = total["n"] + ends, total["v"] + (1 if ends else 0)
@@ -493,7 +499,7 @@ def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
     few = [r["text"] for r in few.orderBy("picked", "text").limit(s.first_docs).collect()]
     gru = Gru(s, class_of)
     gru.start_from(weight)
-    series = [(c, at) for _, _, c, at, _, _ in _groups(pa.array(few, pa.large_string()), units)]
+    series = [(c, at) for c, at, _, _ in _groups([pa.array(few, pa.large_string())], units)]
     for epoch in range(s.first_epochs):
         for c, at in series:
             run_training(gru, c, at, 0.02 * (1 - epoch / s.first_epochs) + 0.002)
@@ -502,15 +508,16 @@ def fit(training: DataFrame, s: Settings, scratch: Scratch) -> Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, un, classes = start.value
         own, seen = Gru.of(s, classes, flat), 0
-        for b in batches:
-            for _, _, c, at, _, _ in _groups(string_column(b, "text"), un):
-                run_training(own, c, at, 0.002)
-                seen += len(c)
+        for c, at, _, _ in _groups((string_column(b, "text") for b in batches), un):
+            run_training(own, c, at, 0.002)
+            seen += len(c)
         if seen:
             w = own.flat()
             yield pa.record_batch([pa.array(np.arange(len(w))), pa.array(w * seen), pa.array(np.full(len(w), seen))], names=["at", "sum", "n"])
 
-    learned = training.select("text").mapInArrow(learn, "at long, sum double, n long").groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).orderBy("at").collect()
+    learned = training.select("text").mapInArrow(learn, "at long, sum double, n long").groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).orderBy("at")
+    with batch_bytes(spark, BATCH_BYTES):
+        learned = learned.collect()
     weights = np.array([r["sum"] / r["n"] for r in learned]) if learned else gru.flat()
     return Model(weights, units, class_of, known, np.log10(size), words, n_tokens, n_distinct, ends)
 
@@ -551,17 +558,27 @@ def lm_scores(docs: DataFrame, *, mod: int = 7, held_out: int = 2, settings: Set
             within = np.where(k <= s.words, 0.0, log_n - sizes[k])
             return np.array([np.bincount(owner, weights=x, minlength=n) for x in (hit, log_n, within, ~hit)], dtype=float), hashes[~hit]
 
-        for b in batches:
-            for lo, hi, c, at, (known, base, within, others), rare in _groups(string_column(b, "text"), un, look):
-                n, rare_at = hi - lo, np.cumsum([0, *others]).astype(np.int32)
-                yield pa.record_batch([
-                    pa.array(row + np.arange(n)), b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(at).astype(np.int64)),
-                    pa.array(known.astype(np.int64)), pa.array(base),
-                    pa.array(within + unit_scores(net, c, at) / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare)),
-                ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-                row += n
-
-    scored = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"))
+        ids: list[tuple] = []  # of the rows read whose group is still open
+
+        def texts() -> Iterator[pa.Array]:
+            for b in batches:
+                ids.extend(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))  # a slice would hold the batch
+                yield string_column(b, "text")
+
+        for c, at, (known, base, within, others), rare in _groups(texts(), un, look):
+            n, rare_at = len(at) - 1, np.cumsum([0, *others]).astype(np.int32)
+            doc_id, held_out = zip(*ids[:n])
+            del ids[:n]
+            yield pa.record_batch([
+                pa.array(row + np.arange(n)), pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(np.diff(at).astype(np.int64)),
+                pa.array(known.astype(np.int64)), pa.array(base),
+                pa.array(within + unit_scores(net, c, at) / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare)),
+            ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            row += n
+
+    scored = rows.select("doc_id", "text", "held_out").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+    with batch_bytes(spark, BATCH_BYTES):
+        scored = scratch.write(scored)
     tail = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     tail = tail.join(fitted.words.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_n"))
     out = scored.drop("rare").join(tail, "row", "left")

@@ -56,3 +56,37 @@ def test_a_text_scored_in_pieces_has_the_score_of_the_whole(tasks, monkeypatch):
     for k in ("base", "score"):
         assert a.pop(k) == pytest.approx(b.pop(k), rel=1e-12)
     assert a == b and a["n_tokens"] == 300 * 7 + 1 and len(a["rare"]) + a["known"] == 300 * 7
+
+
+@pytest.mark.parametrize("task", ["learn", "score"])
+def test_rows_in_many_batches_are_grouped_as_in_one(tasks, task):
+    texts = [f"the cat {i} sat on the mat {'again ' * (i % 50)}" for i in range(300)]
+    rows = rows_of(texts)
+    (whole,) = tasks[task](iter([rows]))
+    (parts,) = tasks[task](iter([rows[i : i + 7] for i in range(0, 300, 7)]))
+    assert parts.equals(whole)
+
+
+def test_no_task_is_handed_a_large_batch(spark, monkeypatch):
+    ship(spark)
+    most = 2 * lm_scoring.BATCH_BYTES
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id % 50, ' '), 700) as text")
+    kind = type(docs)
+    real, seen = kind.mapInArrow, []
+
+    def bounded(self, f, *a):
+        seen.append(f.__name__)
+
+        def looked(batches):
+            for b in batches:
+                assert b.nbytes < most, b.nbytes
+                yield b
+
+        return real(self, lambda batches: f(looked(batches)), *a)
+
+    monkeypatch.setattr(kind, "mapInArrow", bounded)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    out = lm_scoring.lm_scores(docs, settings=lm_scoring.Settings(words=60, endings=6, classes=6, hidden=6, first_docs=10, first_epochs=1))
+    assert out.count() == 3000 and seen == ["_counted", "learn", "score"]
+    assert spark.conf.get(key) == before
